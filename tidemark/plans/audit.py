@@ -171,9 +171,9 @@ def type_dominance_drift(t):
     return a.type_dominance_drift(transform_log(t))
 
 
-@query("new_type_drift", f"SELECT run, type, first_seq FROM ({_SHARES}) WHERE run_rows >= 5 AND first_seq > run_rows - 5")
+@query("new_type_drift", f"SELECT run, type, first_seq FROM ({_SHARES}) WHERE run_rows >= 60 AND first_seq > run_rows - 60")
 def new_type_drift(t):
-    return a.new_type_drift(transform_log(t))
+    return a.new_type_drift(transform_log(t), 60)
 
 
 _DOT = "list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
