@@ -81,7 +81,7 @@ def resume(
         todo = todo.join(spark.read.parquet(manifest).select(unit), unit, "left_anti")
     done = process(todo)
     (
-        done.repartition(unit)
+        done.hint("rebalance", F.col(unit))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(unit)

@@ -22,7 +22,8 @@ KNAPSACK_ITEMS = 50
 TIERS = {"critical": 15, "high": 10, "medium": 5, "low": 1}
 TABLE_WORDS = [(("user", "customer"), 15), (("order", "transaction"), 10), (("analytics", "log"), 5)]
 
-SALTS = 64
+# Salts per token size, and the rows a size may keep after the salted level.
+FEWEST_SALTS, MOST_SALTS, SALTED_ROWS = 64, 65_536, 1 << 24
 
 
 def budget_available(most: Column, used: Column, safe: float = SAFE_SHARE) -> Column:
@@ -69,14 +70,16 @@ def greedy_select(items: DataFrame, budget: int) -> DataFrame:
     ``budget / size`` of them: once one does not fit, no later one of that size can, as the rest of
     the budget only shrinks. So at most ``budget / size`` items of each size can matter, which bounds
     a group at about ``budget * ln(budget)`` candidates however many items it has. The candidates are
-    found in two levels (64 salts, then the group), and only they pass through the ordered scan.
-    Items of no size always fit and skip the scan.
+    found in two levels, first within salts and then within the size; the fewer items of a size can
+    matter, the more salts it is cut into. Only the candidates pass through the ordered scan. Items of
+    no size always fit and skip it.
     """
     free = items.filter(F.col("tokens") <= 0).select("grp", "item", "tokens", "priority")
+    cap = F.floor(F.lit(budget) / F.col("tokens"))
+    salts = F.greatest(F.lit(FEWEST_SALTS), F.least(F.lit(MOST_SALTS), F.floor(F.lit(SALTED_ROWS) / cap)))
     sized = items.filter((F.col("tokens") > 0) & (F.col("tokens") <= budget)).select(
-        "grp", "item", "tokens", "priority", F.pmod(F.xxhash64("item"), F.lit(SALTS)).alias("_salt")
+        "grp", "item", "tokens", "priority", F.pmod(F.xxhash64("item"), salts).alias("_salt")
     )
-    cap = F.floor(F.lit(budget) / F.col("tokens"))
     best = [F.col("priority").desc(), "item"]
     for keys in (["grp", "tokens", "_salt"], ["grp", "tokens"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
