@@ -147,9 +147,9 @@ def churn_reasons(events: DataFrame, when: str, reason: str, value: str, as_of:
 
 
 def share_of_total(df: DataFrame, group: str) -> DataFrame:
-    """Rows and share of all rows per class; the window runs over one row per class."""
+    """Rows and share of all rows per class; the total is a subquery over the counts."""
     counted = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.withColumn("share", share(F.col("rows"), F.sum("rows").over(Window.partitionBy())))
+    return counted.withColumn("share", share(F.col("rows"), counted.agg(F.sum("rows")).scalar()))
 
 
 def confusion(df: DataFrame, predicted: Column, actual: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -189,13 +189,15 @@ def threshold_sweep(rows: DataFrame, confidence: Column, invented: Column, thres
 
 
 def type_switch_drift(log: DataFrame) -> DataFrame:
-    """Runs of three or more rows whose last two types differ."""
-    ends = log.groupBy("run").agg(F.max("seq").alias("rows"))
-    last = log.join(ends, "run").filter(F.col("seq") >= F.col("rows") - 1)
-    pairs = last.groupBy("run", "rows").agg(
-        F.min(F.coalesce("type", F.lit(""))).alias("lo"), F.max(F.coalesce("type", F.lit(""))).alias("hi")
-    )
-    return pairs.select("run", "rows", ((F.col("rows") >= 3) & (F.col("lo") != F.col("hi"))).alias("drift"))
+    """Runs of three or more rows whose last two types differ.
+
+    Each row carries the type before it, so the last row of a run is all that is needed: one maximum.
+    """
+    typed = log.select("run", "seq", F.coalesce("type", F.lit("")).alias("type"))
+    seen = with_previous(typed, ["run"], "seq", ["type"])
+    last = seen.groupBy("run").agg(F.max(F.struct("seq", "type", F.col("prev_1.type").alias("before"))).alias("_last"))
+    switched = (F.col("_last.seq") >= 3) & (F.col("_last.type") != F.col("_last.before"))
+    return last.select("run", F.col("_last.seq").alias("rows"), F.coalesce(switched, F.lit(False)).alias("drift"))
 
 
 def type_shares(log: DataFrame) -> DataFrame:
@@ -225,8 +227,9 @@ def embedding_drift(pairs: DataFrame, old: str, new: str, limit: float = EMBEDDI
 
 
 def value_meaning_drift(rows: DataFrame, period: str, value: str) -> DataFrame:
-    """Share of each code value per period and its change; windows run over the counts."""
+    """Share of each code value per period and its change; joins and windows see counts only."""
     counted = rows.groupBy(period, value).agg(F.count(F.lit(1)).alias("rows"))
-    shares = counted.withColumn("share", share(F.col("rows"), F.sum("rows").over(Window.partitionBy(period))))
+    totals = counted.groupBy(period).agg(F.sum("rows").alias("_total"))
+    shares = counted.join(totals, period).withColumn("share", share(F.col("rows"), F.col("_total"))).drop("_total")
     before = F.lag("share").over(Window.partitionBy(value).orderBy(period))
     return shares.withColumn("change", F.col("share") - before)

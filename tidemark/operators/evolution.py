@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match
 from tidemark.functions.values import share
+from tidemark.session import cut_lineage
 
 # Abbreviations, words of split names, scores and bands.
 ABBREVIATIONS = {
@@ -131,9 +132,12 @@ def split_share(rows: DataFrame, whole: str, parts: Sequence[str], separator: st
 
 
 def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All changes of each table with their kind: splits and merges first, then renames, then the rest."""
-    diff = schema_diff(old, new).filter("change <> 'same'")
-    groups = split_merge_candidates(diff)
+    """All changes of each table with their kind: splits and merges first, then renames, then the rest.
+
+    Each step is used several times, so it is checkpointed in the shared folder.
+    """
+    diff = cut_lineage(schema_diff(old, new).filter("change <> 'same'"))
+    groups = cut_lineage(split_merge_candidates(diff))
     split_rows = groups.select(
         "table_id",
         "change",
@@ -142,7 +146,7 @@ def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     used = groups.select("table_id", F.explode(F.concat(F.array("whole"), "parts")).alias("name"))
     free = diff.join(used, ["table_id", "name"], "left_anti")
-    renames = best_renames(rename_candidates(free)).filter(F.col("score") >= SEMANTIC_FROM).select(
+    renames = cut_lineage(best_renames(cut_lineage(rename_candidates(free)))).filter(F.col("score") >= SEMANTIC_FROM).select(
         "table_id", F.lit("renamed").alias("change"), "old_name", "new_name"
     )
     renamed = renames.select("table_id", F.explode(F.array("old_name", "new_name")).alias("name"))

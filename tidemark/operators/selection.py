@@ -23,6 +23,7 @@ TIERS = {"critical": 15, "high": 10, "medium": 5, "low": 1}
 TABLE_WORDS = [(("user", "customer"), 15), (("order", "transaction"), 10), (("analytics", "log"), 5)]
 
 # Salts per token size, and the rows a size may keep after the salted level.
+LARGEST_DROPPED = 1000
 FEWEST_SALTS, MOST_SALTS, SALTED_ROWS = 64, 65_536, 1 << 24
 
 
@@ -55,15 +56,19 @@ def group_sizes(items: DataFrame) -> DataFrame:
     return items.groupBy("grp").agg(F.count(F.lit(1)).alias("items"))
 
 
-def of_size(items: DataFrame, least: int, most: int | None) -> DataFrame:
-    """Items of the groups whose size lies in the range."""
-    sizes = group_sizes(items).filter(F.col("items") >= least)
-    if most is not None:
-        sizes = sizes.filter(F.col("items") <= most)
-    return items.join(sizes.select("grp"), "grp", "left_semi")
+def of_size(items: DataFrame, least: int, most: int) -> DataFrame:
+    """Items of the groups whose size lies in the range.
+
+    The largest groups beyond the range, at most ``LARGEST_DROPPED`` of them, are dropped first by a
+    broadcast of their names, so that no task has to read a huge group only to discard it.
+    """
+    sizes = group_sizes(items)
+    largest = sizes.filter(F.col("items") > most).orderBy(F.col("items").desc()).limit(LARGEST_DROPPED).select("grp")
+    rest = items.join(F.broadcast(largest), "grp", "left_anti")
+    return rest.join(sizes.filter(F.col("items").between(least, most)).select("grp"), "grp", "left_semi")
 
 
-def greedy_select(items: DataFrame, budget: int) -> DataFrame:
+def greedy_select(items: DataFrame, budget: int, least: int = 0) -> DataFrame:
     """By priority per token, takes what still fits and skips what does not.
 
     Within one token size the taken items are always the first ones of that size, and at most
@@ -72,7 +77,7 @@ def greedy_select(items: DataFrame, budget: int) -> DataFrame:
     a group at about ``budget * ln(budget)`` candidates however many items it has. The candidates are
     found in two levels, first within salts and then within the size; the fewer items of a size can
     matter, the more salts it is cut into. Only the candidates pass through the ordered scan. Items of
-    no size always fit and skip it.
+    no size always fit and skip it. ``least`` leaves out groups with fewer items.
     """
     free = items.filter(F.col("tokens") <= 0).select("grp", "item", "tokens", "priority")
     cap = F.floor(F.lit(budget) / F.col("tokens"))
@@ -85,6 +90,9 @@ def greedy_select(items: DataFrame, budget: int) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
         sized = sized.withColumn("_rank", rank).filter(F.col("_rank") <= cap)
     candidates = sized.drop("_rank", "_salt")
+    if least:
+        large = group_sizes(items).filter(F.col("items") >= least).select("grp")
+        candidates, free = (df.join(large, "grp", "left_semi") for df in (candidates, free))
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         tokens = group["tokens"].to_numpy()
@@ -156,7 +164,7 @@ def auto_select(items: DataFrame, most_tokens: int, safe: float = SAFE_SHARE) ->
     parts = {
         "optimal": exhaustive_select(items, budget),
         "knapsack": knapsack_select(items, budget),
-        "greedy": greedy_select(of_size(items, KNAPSACK_ITEMS + 1, None), budget),
+        "greedy": greedy_select(items, budget, KNAPSACK_ITEMS + 1),
     }
     out = None
     for strategy, part in parts.items():
