@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date styles tried in this order, and spellings that mean "no value".
-DATE_STYLES = ["yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "MMM d, yyyy", "yyyy/MM/dd"]
+# Date styles tried in this order with the shape of their text, and spellings of "no value".
+DATE_STYLES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+}
 MISSING_SPELLINGS = ["", "n/a", "null", "none"]
 CHARACTERS_PER_TOKEN = 4
 
@@ -25,12 +33,15 @@ def blank_to_null(text: Column) -> Column:
     return F.when(~F.lower(F.trim(text)).isin(MISSING_SPELLINGS), text)
 
 
-def parse_date(text: Column, styles: list[str] = DATE_STYLES) -> Column:
-    """Date of the first style that fits; null when none does."""
-    return F.coalesce(*[F.try_to_date(text, style) for style in styles])
+def parse_date(text: Column, styles: Iterable[str] = tuple(DATE_STYLES)) -> Column:
+    """Date of the first style that fits; null when none does.
+
+    The shape is tested before the parser runs, as a failing parse is far dearer than a failing match.
+    """
+    return F.coalesce(*[F.when(text.rlike(DATE_STYLES[style]), F.try_to_date(text, style)) for style in styles])
 
 
-def iso_date(text: Column, styles: list[str] = DATE_STYLES) -> Column:
+def iso_date(text: Column, styles: Iterable[str] = tuple(DATE_STYLES)) -> Column:
     return F.date_format(parse_date(text, styles), "yyyy-MM-dd")
 
 

@@ -34,7 +34,7 @@ VALUE_PATTERNS = {  # type: whole-value pattern, confidence
     "IP_ADDRESS": (r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", 0.95),
     "PHONE": (r"^[+]?[(]?[0-9]{3}[)]?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$", 0.95),
 }
-EMBEDDED_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMBEDDED_EMAIL = r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"  # one character before the @ is enough to tell
 EMBEDDED_CONFIDENCE = 0.85
 BIRTH_CONFIDENCE = 0.75
 YOUNGEST, OLDEST = 18, 80

@@ -45,32 +45,39 @@ FORBIDDEN_WORDS = ["DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE"]
 ATTACK_COUNT, ATTACK_SECONDS = 5, 60
 
 
-def basic_match(text: Column, allowed: Sequence[str] = ()) -> Column:
-    """The first of the ten substrings found, ignoring case; null for a clean or allowed value."""
-    upper = F.upper(text)
-    found = first_match([(F.contains(upper, F.lit(p)), p) for p in SUBSTRINGS])
-    return F.when(~text.isin(list(allowed)), found) if allowed else found
+def _upper_once(rows: DataFrame, text: str) -> DataFrame:
+    """The upper-case text as a column of its own: it is searched many times but made once."""
+    return rows.withColumn("_upper", F.upper(text))
 
 
-def regex_match(text: Column) -> Column:
-    """Struct of family and pattern of the first regular expression found, null when none is.
+def basic_scan(rows: DataFrame, text: str, out: str = "matched_pattern", allowed: Sequence[str] = ()) -> DataFrame:
+    """Adds the first of the ten substrings found, ignoring case; null for a clean or allowed value."""
+    found = first_match([(F.contains("_upper", F.lit(p)), p) for p in SUBSTRINGS])
+    if allowed:
+        found = F.when(~F.col(text).isin(list(allowed)), found)
+    return _upper_once(rows, text).withColumn(out, found).drop("_upper")
+
+
+def regex_scan(rows: DataFrame, text: str, family: str = "matched_family", pattern: str = "matched_pattern") -> DataFrame:
+    """Adds family and pattern of the first regular expression found, null when none is.
 
     A plain search for the text a pattern needs comes first; the regular expression runs only on
     values that contain it.
     """
-    upper = F.upper(text)
-    return first_match([
+    match = first_match([
         (
-            F.contains(upper, F.lit(needed)) & text.rlike(f"(?i){pattern}"),
-            F.struct(F.lit(family).alias("family"), F.lit(pattern).alias("pattern")),
+            F.contains("_upper" if needed.isalpha() or "_" in needed else text, F.lit(needed)) & F.col(text).rlike(f"(?i){expression}"),
+            F.struct(F.lit(kind).alias("family"), F.lit(expression).alias("pattern")),
         )
-        for family, needed, pattern in PATTERNS
+        for kind, needed, expression in PATTERNS
     ])
+    matched = _upper_once(rows, text).withColumn("_match", match).drop("_upper")
+    return matched.withColumns({family: F.col("_match.family"), pattern: F.col("_match.pattern")}).drop("_match")
 
 
 def block_values(rows: DataFrame, value: str, allowed: Sequence[str] = ()) -> DataFrame:
     """Replaces flagged values and keeps the original and the pattern beside them."""
-    scanned = rows.withColumn("matched_pattern", basic_match(F.col(value), allowed))
+    scanned = basic_scan(rows, value, "matched_pattern", allowed)
     hit = F.col("matched_pattern").isNotNull()
     return scanned.withColumn("old_value", F.col(value)).withColumn(
         value, F.when(hit, BLOCKED_VALUE).otherwise(F.col(value))

@@ -108,53 +108,60 @@ def greedy_select(items: DataFrame, budget: int, least: int = 0) -> DataFrame:
     return candidates.groupBy("grp").applyInPandas(scan, candidates.schema).unionByName(free)
 
 
+def _solve_groups(chosen: DataFrame, solve) -> DataFrame:
+    """Keeps the items that ``solve(tokens, priority)`` picks by index, for each small group.
+
+    A group becomes one row of arrays in the JVM, and Arrow batches carry many groups to Python, so
+    there is no per-group hand-over.
+    """
+    columns = ["item", "tokens", "priority"]
+    groups = chosen.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+    arrays = groups.select("grp", *[F.col(f"items.{c}").alias(c) for c in columns])
+
+    def each(batches):
+        for batch in batches:
+            taken = [solve(np.asarray(t, dtype=np.int64), np.asarray(p, dtype=np.int64)) for t, p in zip(batch["tokens"], batch["priority"])]
+            picked = {c: [[values[i] for i in index] for values, index in zip(batch[c], taken)] for c in columns}
+            yield pd.DataFrame({"grp": batch["grp"], **picked})
+
+    solved = arrays.mapInPandas(each, arrays.schema)
+    return solved.select("grp", F.inline(F.arrays_zip(*columns)))
+
+
 def knapsack_select(items: DataFrame, budget: int, least: int = EXHAUSTIVE_ITEMS + 1, most: int = KNAPSACK_ITEMS) -> DataFrame:
     """The best total priority within the budget, for groups of ``least`` to ``most`` items."""
-    chosen = of_size(items.select("grp", "item", "tokens", "priority"), least, most)
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("item")
-        tokens, priority = group["tokens"].to_numpy(), group["priority"].to_numpy()
+    def solve(tokens: np.ndarray, priority: np.ndarray) -> list[int]:
         best = np.zeros(budget + 1, dtype=np.int64)
-        better = np.zeros((len(group), budget + 1), dtype=bool)
+        better = np.zeros((len(tokens), budget + 1), dtype=bool)
         for i, (size, gain) in enumerate(zip(tokens, priority)):
-            if size > budget:
-                continue
-            with_item = np.full(budget + 1, -1, dtype=np.int64)
-            with_item[size:] = best[: budget + 1 - size] + gain
-            better[i] = with_item > best
-            best = np.maximum(best, with_item)
+            if size <= budget:
+                with_item = best[: budget + 1 - size] + gain
+                better[i, size:] = with_item > best[size:]
+                best[size:] = np.maximum(best[size:], with_item)
         taken, left = [], budget
-        for i in range(len(group) - 1, -1, -1):
+        for i in range(len(tokens) - 1, -1, -1):
             if better[i, left]:
                 taken.append(i)
                 left -= tokens[i]
-        return group.iloc[taken[::-1]]
+        return taken
 
-    return chosen.groupBy("grp").applyInPandas(solve, chosen.schema)
+    return _solve_groups(of_size(items.select("grp", "item", "tokens", "priority"), least, most), solve)
 
 
 def exhaustive_select(items: DataFrame, budget: int, most: int = EXHAUSTIVE_ITEMS) -> DataFrame:
     """Tries every subset of groups of at most ten items; the first best subset wins.
 
-    Items are numbered by id; a subset is a bit mask. At most 1,024 masks per group, tried inside
-    one row.
+    Items are numbered by id; a subset is a bit mask, and all masks of a group are one matrix product.
     """
-    chosen = of_size(items, 1, most)
-    groups = chosen.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("item", "tokens", "priority"))).alias("items"))
 
-    def total(mask: Column, part: str) -> Column:
-        parts = F.transform("items", lambda x, i: F.getbit(mask, i) * x[part])
-        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
+    def solve(tokens: np.ndarray, priority: np.ndarray) -> list[int]:
+        n = len(tokens)
+        masks = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+        gain = np.where(masks @ tokens <= budget, masks @ priority, -1)
+        return list(np.flatnonzero(masks[int(np.argmax(gain))]))
 
-    masks = F.transform(
-        F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2), F.size("items")) - 1).cast("long")),
-        lambda m: F.struct(total(m, "priority").alias("gain"), (-m).alias("order"), total(m, "tokens").alias("size")),
-    )
-    best = F.array_max(F.filter(masks, lambda x: x["size"] <= budget))
-    picked = groups.withColumn("_mask", -best["order"])
-    kept = F.filter("items", lambda x, i: F.getbit(F.col("_mask"), i) == 1)
-    return picked.select("grp", F.inline(kept))
+    return _solve_groups(of_size(items.select("grp", "item", "tokens", "priority"), 1, most), solve)
 
 
 def auto_select(items: DataFrame, most_tokens: int, safe: float = SAFE_SHARE) -> DataFrame:

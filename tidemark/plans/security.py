@@ -57,15 +57,19 @@ def regex_sql(column: str, what: int) -> str:
     return f"CASE {cases} END"
 
 
+def hits_by_pattern(scanned):
+    # Clean values are dropped by their count of zero: a filter on the pattern itself would be pushed
+    # below the projection that makes the upper-case text, and make that text again for every pattern.
+    return scanned.groupBy("kind", "pattern").agg(F.count("pattern").alias("hits")).filter("hits > 0")
+
+
 @query("injection_scan_basic", f"""
 SELECT kind, pattern, count(*) AS hits FROM (SELECT 'input' AS kind, {basic_sql('value')} AS pattern FROM ({INPUTS})
  UNION ALL SELECT 'document', {basic_sql('text')} FROM documents UNION ALL SELECT 'turn', {basic_sql('text')} FROM conversations UNION ALL SELECT 'page', {basic_sql('html')} FROM pages)
 WHERE pattern IS NOT NULL GROUP BY kind, pattern
 """)
 def injection_scan_basic(t):
-    return texts(t).select("kind", s.basic_match(F.col("value")).alias("pattern")).filter("pattern IS NOT NULL").groupBy(
-        "kind", "pattern"
-    ).agg(F.count(F.lit(1)).alias("hits"))
+    return hits_by_pattern(s.basic_scan(texts(t), "value", "pattern"))
 
 
 def texts(t):
@@ -84,8 +88,7 @@ SELECT kind, pattern, count(*) AS hits FROM (SELECT 'input' AS kind, {regex_sql(
 WHERE pattern IS NOT NULL GROUP BY kind, pattern
 """)
 def injection_scan_regex(t):
-    found = texts(t).select("kind", s.regex_match(F.col("value")).alias("m")).filter("m IS NOT NULL")
-    return found.groupBy("kind", F.col("m.pattern").alias("pattern")).agg(F.count(F.lit(1)).alias("hits"))
+    return hits_by_pattern(s.regex_scan(texts(t), "value", pattern="pattern"))
 
 
 _ALLOWED = ", ".join(_quoted(v) for v in s.ALLOWED)
@@ -95,7 +98,7 @@ _ALLOWED = ", ".join(_quoted(v) for v in s.ALLOWED)
 SELECT event_id, value, CASE WHEN value NOT IN ({_ALLOWED}) THEN {basic_sql('value')} END AS pattern FROM ({INPUTS})
 """)
 def allow_list(t):
-    return inputs(t).select("event_id", "value", s.basic_match(F.col("value"), s.ALLOWED).alias("pattern"))
+    return s.basic_scan(inputs(t), "value", "pattern", s.ALLOWED).select("event_id", "value", "pattern")
 
 
 _BLOCKED = f"""
@@ -121,8 +124,8 @@ def blocked_value_rewrite(t):
     f"SELECT family, {regex_sql('value', 1)} IS NOT NULL AS p, family <> 'none' AS a FROM ({INPUTS})", by="family"
 ))
 def scan_accuracy(t):
-    rows = inputs(t).withColumn("p", s.regex_match(F.col("value")).isNotNull())
-    return analytics.confusion(rows, F.col("p"), F.col("family") != "none", ["family"])
+    rows = s.regex_scan(inputs(t), "value")
+    return analytics.confusion(rows, F.col("matched_pattern").isNotNull(), F.col("family") != "none", ["family"])
 
 
 @query("violation_replay", f"""
