@@ -262,7 +262,7 @@ def test_recovery(spark):
 def test_admission(spark):
     at = datetime.datetime(2024, 1, 1)
     requests = spark.createDataFrame([("p", i, at) for i in range(15)], "provider string, id int, ts timestamp")
-    done = batching.admission_schedule(requests, "provider", "ts", "id", 1_200_000, 10, F.date_trunc("hour", "ts"))
+    done = batching.admission_schedule(requests, "provider", "ts", "id", 1_200_000, 10)
     waits = [r.wait_micros for r in done.orderBy("id").collect()]
     assert waits == [0] * 10 + [1_200_000 * k for k in range(1, 6)]
 

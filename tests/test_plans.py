@@ -54,7 +54,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_sample_is_limited_before_the_shuffle(spark):
-    rows = spark.range(1000).select(F.lit("c").alias("c"), F.col("id").cast("string").alias("v"), "id")
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("c"), F.col("id").cast("string").alias("v"), "id")
     text = plan(column_sample(rows, "c", "v", "id"))
     assert text.count("WindowGroupLimit") >= 2
 

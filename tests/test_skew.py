@@ -1,11 +1,12 @@
 """One key with most rows, and results against brute force."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, ordered, provenance, search, selection
+from tidemark.operators import audit, ordered, provenance, search, security, selection
 from tidemark.session import new_path
 
 
@@ -24,21 +25,29 @@ def per_key(rows):
     return groups
 
 
-def test_positions(skewed):
+CELLS = [None, "floor(at / 10)"]
+
+
+@pytest.fixture(params=CELLS)
+def cell(request):
+    return request.param and F.expr(request.param)
+
+
+def test_positions(skewed, cell):
     rows, df = skewed
-    got = {r.id: r.pos for r in ordered.positions(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10)).collect()}
+    got = {r.id: r.pos for r in ordered.positions(df, ["k"], ["at", "id"], cell).collect()}
     assert got == {i: n + 1 for group in per_key(rows).values() for n, (i, _, _) in enumerate(group)}
 
 
-def test_positions_without_keys(skewed):
+def test_positions_without_keys(skewed, cell):
     rows, df = skewed
-    got = {r.id: r.pos for r in ordered.positions(df, [], ["at", "id"], F.floor(F.col("at") / 10)).collect()}
+    got = {r.id: r.pos for r in ordered.positions(df, [], ["at", "id"], cell).collect()}
     assert got == {r[1]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[1])))}
 
 
-def test_running(skewed):
+def test_running(skewed, cell):
     rows, df = skewed
-    done = ordered.running(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10), {"s": ("sum", F.col("x")), "m": ("max", F.col("x"))})
+    done = ordered.running(df, ["k"], ["at", "id"], {"s": ("sum", F.col("x")), "m": ("max", F.col("x"))}, cell)
     want = {}
     for group in per_key(rows).values():
         total, most = 0, -1
@@ -50,7 +59,7 @@ def test_running(skewed):
 
 def test_previous_over_chunks(skewed):
     rows, df = skewed
-    placed = ordered.positions(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10))
+    placed = ordered.positions(df, ["k"], ["at", "id"])
     done = ordered.with_previous(placed, ["k"], "pos", ["id"], depth=3, chunk=7)
     want = {}
     for group in per_key(rows).values():
@@ -63,9 +72,9 @@ def test_previous_over_chunks(skewed):
 
 def test_last_before_over_cells(skewed):
     rows, df = skewed
-    placed = ordered.positions(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10))
+    placed = ordered.positions(df, ["k"], ["at", "id"])
     kept = F.when(F.col("x") % 5 == 0, F.col("x"))
-    done = ordered.last_before(placed, ["k"], ["pos"], F.floor(F.col("pos") / 11), kept, "seen")
+    done = ordered.last_before(placed, ["k"], ["pos"], kept, "seen", F.floor(F.col("pos") / 11))
     want = {}
     for group in per_key(rows).values():
         last = None
@@ -77,10 +86,29 @@ def test_last_before_over_cells(skewed):
 
 def test_null_keys_stay(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, at bigint")
-    got = sorted((r.at, r.pos) for r in ordered.positions(df, ["k"], ["at"], F.col("at")).collect())
+    got = sorted((r.at, r.pos) for r in ordered.positions(df, ["k"], ["at"]).collect())
     assert got == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_cells_are_even_for_a_hot_key(skewed, spark):
+    _, df = skewed
+    sizes = [r["count"] for r in ordered.range_cells(df, ["k"], ["at", "id"], 8).groupBy("range_cell").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 3 * 3000 / 8
+
+
+def test_repeat_attackers(spark):
+    rng = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("hot" if rng.random() < 0.8 else "cold", start + datetime.timedelta(seconds=rng.randrange(2000))) for _ in range(600)]
+    got = {(r.src, r.ts): r.attacks for r in security.repeat_attackers(spark.createDataFrame(rows, "src string, ts timestamp"), "src", "ts").collect()}
+    want = {}
+    for src, ts in rows:
+        n = sum(s == src and 0 <= (ts - u).total_seconds() < 60 for s, u in rows)
+        if n >= 5:
+            want[(src, ts)] = n
+    assert got == want
+
+
 def test_loop_in_one_long_run(spark):
     rng = random.Random(3)
     rows = [(1, n + 1, "f", rng.choice("ab"), rng.choice("cd")) for n in range(2000)]

@@ -74,7 +74,7 @@ def exact_repeat(log: DataFrame, chunk: int = 100_000) -> DataFrame:
     marked = join_null_safe(log, first, ["run", *TRIPLE]).withColumn("rejected", F.col("seq") > F.col("_first"))
     kept = F.when(~F.col("rejected"), F.col("new_value"))
     cell = F.floor(F.col("seq") / chunk)
-    return last_before(marked.drop("_first"), ["run"], ["seq"], cell, kept, "last_accepted")
+    return last_before(marked.drop("_first"), ["run"], ["seq"], kept, "last_accepted", cell)
 
 
 def equivalent_repeat(log: DataFrame) -> DataFrame:

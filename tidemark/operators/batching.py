@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import share
-from tidemark.operators.ordered import positions, running
+from tidemark.operators.ordered import RANGE_CELL, positions, range_cells, running
 
 # Batch size limits and target, waits between attempts, price and retries of a call.
 TARGET_BYTES = 50 * 1024 * 1024
@@ -18,12 +18,12 @@ BACKOFF_BASE, BACKOFF_FACTOR, BACKOFF_CAP = 4, 2, 10
 CALL_PRICE, RETRIES = 0.003, 3
 
 
-def assign_batches(df: DataFrame, order: Sequence[str], cell: Column, size: int) -> DataFrame:
+def assign_batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """Adds ``batch``: rows in order, ``size`` to a batch, the last one short.
 
-    Positions come from counts per cell, so no task holds the whole order.
+    Positions come from counts per range of the order, so no task holds all of it.
     """
-    placed = positions(df, [], order, cell, "_pos")
+    placed = positions(df, [], order, out="_pos")
     return placed.withColumn("batch", F.floor((F.col("_pos") - 1) / size)).drop("_pos")
 
 
@@ -64,25 +64,26 @@ def failures_aside(df: DataFrame, value: str, attempt: Column, error: str) -> tu
 
 
 def admission_schedule(
-    requests: DataFrame, provider: str, arrival: str, tie: str, gap_micros: int, burst: int, cell: Column
+    requests: DataFrame, provider: str, arrival: str, tie: str, gap_micros: int, burst: int
 ) -> DataFrame:
     """Earliest start of each request at one per ``gap_micros`` with bursts, in order of arrival.
 
     With requests numbered i per provider, the time up to which the rate is used up after i requests is
-    ``gap * i + max over j <= i of (arrival_j - gap * (j - 1))``: a running maximum, computed in cells of
-    arrival time so that one provider with most requests is spread out. Request i starts at its arrival,
+    ``gap * i + max over j <= i of (arrival_j - gap * (j - 1))``: a running maximum, computed in ranges
+    of arrival so that one provider with most requests is spread out. Request i starts at its arrival,
     or when what is used up after i - 1 leaves room for it within the burst.
     """
     micros = F.unix_micros(F.col(arrival).cast("timestamp"))
-    numbered = positions(requests, [provider], [arrival, tie], cell, "_i").withColumn("_at", micros)
+    cells = range_cells(requests, [provider], [arrival, tie])
+    numbered = positions(cells, [provider], [arrival, tie], F.col(RANGE_CELL), "_i").withColumn("_at", micros)
     slack = F.col("_at") - gap_micros * (F.col("_i") - 1)
-    walked = running(numbered, [provider], [arrival, tie], cell, {"_most": ("max", slack)})
+    walked = running(numbered, [provider], [arrival, tie], {"_most": ("max", slack)}, F.col(RANGE_CELL))
     # The running maximum includes the row itself. That is safe: the row's own term only exceeds the
     # earlier ones when the rate is not used up, and then the start is the arrival either way.
     used_up = gap_micros * (F.col("_i") - 1) + F.col("_most")
     start = F.greatest(F.col("_at"), used_up - (burst - 1) * gap_micros)
     waited = start - F.col("_at")
-    return walked.withColumns({"request_no": F.col("_i"), "wait_micros": waited}).drop("_i", "_at", "_most")
+    return walked.withColumns({"request_no": F.col("_i"), "wait_micros": waited}).drop("_i", "_at", "_most", RANGE_CELL)
 
 
 def backoff_schedule(

@@ -93,9 +93,12 @@ def spill_report(log: DataFrame, spill: str, newest: str, n: int = TOP_SHOWN) ->
 
 
 def unsorted_report(df: DataFrame, position: str, key: str, chunk: int = 1_000_000) -> DataFrame:
-    """Share of rows whose key is below that of the row stored before, and whether to resort."""
+    """Share of rows whose key is below that of the row stored before, and whether to resort.
+
+    ``position`` is a row number, so its chunks are even.
+    """
     cell = F.floor(F.col(position) / chunk)
-    seen = last_before(df.select(position, key), [], [position], cell, F.col(key), "_before")
+    seen = last_before(df.select(position, key), [], [position], F.col(key), "_before", cell)
     breaks = F.count_if(F.col(key) < F.col("_before"))
     return seen.agg(
         F.count(F.lit(1)).alias("rows"), breaks.alias("breaks"), share(breaks, F.count(F.lit(1))).alias("unsorted")

@@ -1,10 +1,13 @@
-"""Ordered computations that hold when one key owns a large part of all rows.
+"""Ordered computations that hold when one key, or one moment, owns a large part of all rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key is first cut into
-cells that follow the sort order (an hour, a range of positions), the cells are worked in
-parallel, and one small row per cell carries totals across cells. Results are exact.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here rows are first cut into cells
+that follow the sort order, the cells are worked in parallel, and one small row per key and cell
+carries totals across cells. Results are exact.
 
-``cell`` must never decrease along ``order`` within a key.
+By default the cells come from a range partitioning on keys and order (``range_cells``), which
+balances them whatever the data looks like, at the price of one more shuffle and a written step.
+Where the data is known to be even along some expression (an hour, a range of numbers), pass that
+as ``cell`` instead; it must never decrease along ``order`` within a key.
 """
 
 from __future__ import annotations
@@ -14,6 +17,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
+RANGE_CELL = "range_cell"
+
+
+def range_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
+    """Adds ``range_cell``: the number of the range of (keys, order) a row falls into.
+
+    Ranges are chosen from a sample, so the numbers are written down before they are used: a second
+    evaluation could choose others.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return cut_lineage(ranged.withColumn(RANGE_CELL, F.spark_partition_id()))
+
+
+def _celled(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column | None) -> DataFrame:
+    if cell is not None:
+        return df.withColumn("_cell", cell)
+    return range_cells(df, keys, order).withColumnRenamed(RANGE_CELL, "_cell")
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal columns where null equals null; keeps the left copy of the keys."""
@@ -28,10 +52,10 @@ def join_null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str], ho
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column, out: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column | None = None, out: str = "pos"
 ) -> DataFrame:
     """Adds the 1-based position of each row along ``order`` within ``keys``."""
-    cells = df.withColumn("_cell", cell)
+    cells = _celled(df, keys, order, cell)
     counts = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -55,14 +79,14 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    cell: Column,
     values: Mapping[str, tuple[str, Column]],
+    cell: Column | None = None,
 ) -> DataFrame:
     """Adds running aggregates (``sum`` or ``max``) up to and including each row.
 
     ``values`` maps an output column to ``(kind, expression)``.
     """
-    cells = df.withColumn("_cell", cell)
+    cells = _celled(df, keys, order, cell)
     names = list(values)
     totals = cells.groupBy(*keys, "_cell").agg(
         *[_RUNNING[values[n][0]][0](values[n][1]).alias(f"_total_{n}") for n in names]
@@ -111,10 +135,10 @@ def with_previous(
 
 
 def last_before(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, value: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, cell: Column | None = None
 ) -> DataFrame:
     """Adds the last non-null ``value`` among the rows strictly before each row."""
-    cells = df.withColumn("_cell", cell).withColumn("_value", value)
+    cells = _celled(df, keys, order, cell).withColumn("_value", value)
     lasts = cells.groupBy(*keys, "_cell").agg(
         F.max(F.when(F.col("_value").isNotNull(), F.struct(*order, "_value"))).alias("_last")
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match
+from tidemark.operators.ordered import running
 
 # The ten substrings of the basic scan, in the order they are tried.
 SUBSTRINGS = ["';", "--", "DROP ", "DELETE ", "INSERT ", "UPDATE ", "/*", "*/", "XP_", "SP_"]
@@ -89,16 +90,20 @@ def repeat_attackers(
 ) -> DataFrame:
     """Moments at which a source had at least ``least`` hits in the trailing ``seconds``.
 
-    Hits are first summed per moment. Time is cut into cells of the window's length; a cell also
-    receives the rows of the cell before it, so a busy source is spread over its cells.
+    Every moment's hits enter when they happen and leave ``seconds`` later; the running sum of both is
+    the trailing count. It is taken in even ranges of (source, time), so neither a busy source nor a
+    busy minute lands in one task.
     """
-    micros = F.unix_micros(F.col(when).cast("timestamp"))
-    moments = hits.groupBy(source, when).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", micros)
-    own = F.floor(F.col("_at") / (seconds * 1_000_000))
-    copies = moments.withColumn("_own", own).withColumn("_cell", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    trailing = Window.partitionBy(source, "_cell").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    counted = copies.withColumn("attacks", F.sum("_n").over(trailing)).filter(F.col("_cell") == F.col("_own"))
-    return counted.filter(F.col("attacks") >= least).select(source, when, "attacks")
+    moments = hits.groupBy(source, when).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_at", F.unix_micros(F.col(when).cast("timestamp"))
+    )
+    enter = moments.select(source, when, "_at", "_n", F.lit(1).alias("_turn"))
+    leave = moments.select(
+        source, when, (F.col("_at") + seconds * 1_000_000).alias("_at"), (-F.col("_n")).alias("_n"), F.lit(0).alias("_turn")
+    )
+    order = ["_at", "_turn"]
+    counted = running(enter.unionByName(leave), [source], order, {"attacks": ("sum", F.col("_n"))})
+    return counted.filter((F.col("_turn") == 1) & (F.col("attacks") >= least)).select(source, when, "attacks")
 
 
 def query_log_guard(log: DataFrame, text: str) -> DataFrame:

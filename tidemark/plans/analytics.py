@@ -277,8 +277,7 @@ def running_total(t):
         "o_orderpriority", "o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
     )
     summed = running(
-        rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], F.col("o_orderdate").cast("date"),
-        {"running_cents": ("sum", F.col("cents"))},
+        rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], {"running_cents": ("sum", F.col("cents"))}
     )
     return summed.select("o_orderpriority", "o_orderkey", "cents", "running_cents")
 

@@ -15,7 +15,7 @@ SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 700 AS batch
 """)
 def assign_batches(t):
     rows = t.events.select("event_id", "ts")
-    return b.assign_batches(rows, ["ts", "event_id"], F.date_trunc("hour", "ts"), 700).select("event_id", "batch")
+    return b.assign_batches(rows, ["ts", "event_id"], 700).select("event_id", "batch")
 
 
 @query("adaptive_batch_size", """
@@ -58,7 +58,7 @@ SELECT event_type, event_id, i AS request_no, start - came AS wait_micros FROM g
 """)
 def admission_schedule(t):
     requests = t.events.select("event_type", "event_id", "ts")
-    done = b.admission_schedule(requests, "event_type", "ts", "event_id", GAP, BURST, F.date_trunc("hour", "ts"))
+    done = b.admission_schedule(requests, "event_type", "ts", "event_id", GAP, BURST)
     return done.select("event_type", "event_id", "request_no", "wait_micros")
 
 

@@ -72,7 +72,7 @@ def log_rows(t) -> DataFrame:
 
 def transform_log(t) -> DataFrame:
     """The change log with its position per run."""
-    return positions(log_rows(t), ["run"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "seq")
+    return positions(log_rows(t), ["run"], ["ts", "event_id"], out="seq")
 
 
 # Realistic value pairs for the gates: most new values restate the old one, some do not.
