@@ -107,10 +107,17 @@ def exhaustive_select(t):
     return totals(s.exhaustive_select(order_items(t), 15))
 
 
+MIXED_ITEMS = f"""
+SELECT grp::VARCHAR AS grp, item, tokens, priority FROM ({ORDER_ITEMS})
+UNION ALL SELECT lang, doc_id, 1 + n_chars // 2000, 1 + doc_id % 15 FROM documents
+"""
+LARGE_ITEMS = f"SELECT * FROM ({MIXED_ITEMS}) QUALIFY count(*) OVER (PARTITION BY grp) > 50"
+
+
 @query("auto_select", f"""
-SELECT 'optimal' AS strategy, grp::VARCHAR AS grp, total_priority FROM ({optimum_sql(ORDER_ITEMS, 15, 1, 10)})
-UNION ALL SELECT 'knapsack', grp::VARCHAR, total_priority FROM ({optimum_sql(ORDER_ITEMS, 15, 11, 50)})
-UNION ALL SELECT 'greedy', grp, sum(priority)::BIGINT FROM ({greedy_sql("SELECT lang AS grp, doc_id AS item, 1 + n_chars // 2000 AS tokens, 1 + doc_id % 15 AS priority FROM documents", 15)}) GROUP BY grp
+SELECT 'optimal' AS strategy, grp, total_priority FROM ({optimum_sql(MIXED_ITEMS, 15, 1, 10)})
+UNION ALL SELECT 'knapsack', grp, total_priority FROM ({optimum_sql(MIXED_ITEMS, 15, 11, 50)})
+UNION ALL SELECT 'greedy', grp, sum(priority)::BIGINT FROM ({greedy_sql(LARGE_ITEMS, 15)}) GROUP BY grp
 """)
 def auto_select(t):
     documents = t.documents.selectExpr(
