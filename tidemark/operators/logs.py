@@ -20,6 +20,15 @@ STORAGE_PRICE = 0.03
 INGEST_PRICE = 0.50
 ALARM_PERIOD = "5 minutes"
 
+# The standing alarms as (name, metric, statistic, threshold, inclusive, periods, missing data).
+ALARMS = [
+    ("high-cpu", "CPUUtilization", "avg", 80, False, 2, "missing"),
+    ("high-connections", "DatabaseConnections", "max", 450, False, 1, "missing"),
+    ("low-disk", "PercentageDiskSpaceUsed", "avg", 85, False, 2, "missing"),
+    ("slow-queries", "QueryDuration", "max", 30_000, False, 2, "missing"),
+    ("job-failed", "JobsFailed", "sum", 1, True, 1, "not_breaching"),
+]
+
 
 def top_by_sum(df: DataFrame, group: str, measure: str, out: str, n: int = TOP_SHOWN) -> DataFrame:
     return df.groupBy(group).agg(F.sum(measure).alias(out)).orderBy(F.col(out).desc(), group).limit(n)
@@ -65,6 +74,24 @@ def threshold_alarm(
     return rows.withColumn("alarm", alarm)
 
 
+def standing_alarms(metrics: DataFrame, when: str, metric: str, value: str) -> DataFrame:
+    """All standing alarms over one metric table: state per alarm and five-minute bin.
+
+    Each alarm filters its own metric before anything is aggregated.
+    """
+    statistics = {"avg": F.avg, "max": F.max, "sum": F.sum}
+    out = None
+    for name, wanted, statistic, threshold, inclusive, periods, missing in ALARMS:
+        series = per_bin(
+            metrics.filter(F.col(metric) == wanted), when, ALARM_PERIOD, [metric], value=statistics[statistic](value)
+        )
+        state = threshold_alarm(
+            with_gaps(series, metric, ALARM_PERIOD), metric, "value", threshold, periods, missing, inclusive
+        ).select(F.lit(name).alias("name"), "bin", "breaching", "alarm")
+        out = state if out is None else out.unionByName(state)
+    return out
+
+
 def query_rules(log: DataFrame, exec_ms: str, cpu_ms: str, spill: str) -> DataFrame:
     """Rules a logged query breaks, with what to do about it."""
     broken = F.array_compact(F.array(

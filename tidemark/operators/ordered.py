@@ -26,10 +26,10 @@ def range_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     """Adds ``range_cell``: the number of the range of (keys, order) a row falls into.
 
     Ranges are chosen from a sample, so the numbers are written down before they are used: a second
-    evaluation could choose others.
+    evaluation could choose others. Without ``parts`` there are as many ranges as shuffle partitions,
+    and adaptive execution joins small neighbours.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order)
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order)
     return cut_lineage(ranged.withColumn(RANGE_CELL, F.spark_partition_id()))
 
 

@@ -141,6 +141,12 @@ def classify(found: DataFrame) -> DataFrame:
     ).withColumn("contains_pii", F.col("confidence") >= CONTAINS_FROM)
 
 
+def with_samples(classified: DataFrame, samples: DataFrame) -> DataFrame:
+    """Adds up to three example values per column; ``samples`` comes from ``column_sample(..., most=3)``."""
+    listed = samples.groupBy("table", "column").agg(F.array_sort(F.collect_set("value")).alias("sample_values"))
+    return classified.join(listed, ["table", "column"], "left")
+
+
 def catalog_summary(classified: DataFrame) -> DataFrame:
     """Fields and tables per type."""
     return classified.filter("contains_pii").groupBy("pii_type").agg(

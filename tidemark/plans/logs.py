@@ -76,6 +76,32 @@ def missing_data_policy(t):
     return g.threshold_alarm(series(t), "event_type", "value", 60, 1, missing="not_breaching", inclusive=True)
 
 
+# One metric per event type, scaled to the range of its alarm.
+METRICS = {"error": ("CPUUtilization", 2), "view": ("DatabaseConnections", 5), "click": ("PercentageDiskSpaceUsed", 2), "purchase": ("QueryDuration", 500), "signup": ("JobsFailed", 0.01)}
+
+
+def standing_sql() -> str:
+    parts = []
+    for name, metric, statistic, threshold, inclusive, periods, missing in g.ALARMS:
+        kind, factor = next((k, f) for k, (m, f) in METRICS.items() if m == metric)
+        series = f"SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS bin, {statistic}(round(value * {factor})) AS value FROM events WHERE event_type = '{kind}' GROUP BY ALL"
+        above = f"value {'>=' if inclusive else '>'} {threshold}"
+        breaching = f"coalesce({above}, false)" if missing == "not_breaching" else above
+        one = alarm_sql(breaching, periods).replace(SERIES, series)
+        parts.append(f"SELECT '{name}' AS name, bin, breaching, alarm FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+@query("standing_alarms", standing_sql())
+def standing_alarms(t):
+    names = F.create_map(*[part for k, (m, _) in METRICS.items() for part in (F.lit(k), F.lit(m))])
+    factors = F.create_map(*[part for k, (_, f) in METRICS.items() for part in (F.lit(k), F.lit(float(f)))])
+    metrics = t.events.select(
+        "ts", F.element_at(names, F.col("event_type")).alias("metric"), F.round(F.col("value") * F.element_at(factors, F.col("event_type"))).alias("value")
+    )
+    return g.standing_alarms(metrics, "ts", "metric", "value")
+
+
 @query("query_rules", f"""
 SELECT query_id, concat_ws(',', CASE WHEN exec_ms > 300000 THEN 'abort_long_queries:abort' END, CASE WHEN cpu_ms > 100000 THEN 'log_high_cpu_queries:log' END,
  CASE WHEN spill_blocks > 100000 THEN 'log_disk_spill:log' END) AS broken FROM ({QUERY_LOG}) WHERE broken <> ''

@@ -224,3 +224,17 @@ SELECT "column", c_custkey, value FROM (SELECT *, row_number() OVER (PARTITION B
 def sample_columns(t):
     long_rows = contacts(t).unpivot(["c_custkey"], ["email", "contact", "origin"], "column", "value")
     return column_sample(long_rows, "column", "value", "c_custkey").select("column", "c_custkey", "value")
+
+
+@query("pii_samples", f"""
+SELECT k."column", pii_type, string_agg(DISTINCT value, ' ; ' ORDER BY value) AS samples FROM (SELECT * FROM ({CLASSIFIED}) WHERE "table" = 'contacts') k JOIN (
+ SELECT "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5("column" || '|' || c_custkey), c_custkey) AS rn FROM ({
+    " UNION ALL ".join(f"SELECT c_custkey, '{c}' AS " + '"column"' + f", {c} AS value FROM ({CONTACTS})" for c in CONTACT_COLUMNS)
+}) WHERE value IS NOT NULL) WHERE rn <= 3) s ON s."column" = k."column" GROUP BY ALL
+""")
+def pii_samples(t):
+    classified = p.classify(p.by_values(p.scan_values("contacts", contacts(t), CONTACT_COLUMNS, AS_OF)))
+    long_rows = contacts(t).unpivot(["c_custkey"], CONTACT_COLUMNS, "column", "value")
+    samples = column_sample(long_rows, "column", "value", "c_custkey", most=3).withColumn("table", F.lit("contacts"))
+    found = p.with_samples(classified, samples)
+    return found.select("column", "pii_type", F.concat_ws(" ; ", "sample_values").alias("samples"))
