@@ -40,7 +40,7 @@ def test_loops_across_batches(spark):
     for part in (rows[:100], rows[100:180], rows[180:]):
         feed(spark, f"{folder}/in", part, schema)
         log = streams.event_source(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files=1)
-        done = streams.run_available(streams.loop_detect(log), f"{folder}/out", f"{folder}/checkpoint")
+        done = streams.loop_batches(log, folder)
     numbered, seen = [], {}
     for r in rows:
         seen[r[0]] = seen.get(r[0], 0) + 1

@@ -8,15 +8,16 @@ has passed its end.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.analytics import latest
+from tidemark.operators.audit import repeat_loop
 from tidemark.operators.logs import per_bin
+from tidemark.operators.ordered import positions
 from tidemark.session import new_path
 from tidemark.sources.files import dataset_exists
 
@@ -83,27 +84,29 @@ def dedupe(events: DataFrame, keys: Sequence[str], when: str, late: str = WATERM
     return events.withWatermark(when, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-LOOP_OUT = "run bigint, event_id bigint, is_loop boolean"
-LOOP_STATE = "field string, old_value string, new_value string"
+def loop_batches(log: DataFrame, folder: str) -> DataFrame:
+    """Flags rows equal to the row before in their run, over all micro-batches.
 
-
-def loop_detect(log: DataFrame) -> DataFrame:
-    """Flags rows equal to the row before in their run; the last triple of a run is its state.
-
-    Arrow batches of a group are walked one by one in the order of the stream; the micro-batch bounds
-    what a task sees. Input rows carry ``run``, ``event_id``, ``ts`` and the triple.
+    The last row of each run is kept between batches as a small table, one folder per batch number. A
+    batch is joined by the kept rows and goes through the same operator as a batch job, so a run that
+    owns most of a micro-batch is spread over many tasks; a batch that is run again replaces its folders.
+    Input rows carry ``run``, ``ts``, ``event_id`` and the triple.
     """
+    spark = log.sparkSession
+    order = ["ts", "event_id"]
 
-    def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        triples = list(zip(rows["field"], rows["old_value"], rows["new_value"]))
-        triples = [tuple(None if pd.isna(v) else v for v in triple) for triple in triples]
-        before = [state.get if state.exists else None, *triples[:-1]]
-        flags = [b is not None and tuple(b) == t for b, t in zip(before, triples)]
-        state.update(triples[-1])
-        yield pd.DataFrame({"run": key[0], "event_id": rows["event_id"].to_numpy(), "is_loop": flags})
-
-    return log.groupBy("run").applyInPandasWithState(follow, LOOP_OUT, LOOP_STATE, "append", "NoTimeout")
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("kept", F.lit(False))
+        before = f"{folder}/state/batch={number - 1}"
+        if dataset_exists(spark, before):
+            rows = rows.unionByName(spark.read.parquet(before).withColumn("kept", F.lit(True)))
+        placed = positions(rows, ["run"], order, out="seq")
+        flagged = repeat_loop(placed).filter(~F.col("kept"))
+        flagged.select("run", "event_id", "is_loop").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        latest(rows.drop("kept"), ["run"], order).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    run_batches(log, each, f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 def upsert_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str) -> None:
