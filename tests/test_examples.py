@@ -27,6 +27,12 @@ def test_three_way_conflict(spark):
     assert [(r.conflict_type, r.num_sources, r.sources) for r in found] == [("3-way", 3, ["crm", "erp", "legacy"])]
 
 
+def test_wide_rows_become_long(spark):
+    wide = spark.createDataFrame([(1, "crm", "a@x", 5)], "entity int, source string, email string, staff int")
+    got = [tuple(r) for r in conflicts.long_form(wide, ["entity", "source"], ["email", "staff"]).collect()]
+    assert got == [(1, "crm", "email", "a@x"), (1, "crm", "staff", "5")]
+
+
 def test_null_is_a_value(spark):
     rows = [(1, "email", "a@x", "crm", 3, DAY), (1, "email", None, "erp", 2, DAY), (2, "email", None, "crm", 3, DAY), (2, "email", None, "erp", 2, DAY)]
     assert [r.entity for r in conflicts.detect_conflicts(source_rows(spark, rows)).collect()] == [1]

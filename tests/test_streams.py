@@ -3,8 +3,6 @@
 import datetime
 import random
 
-from pyspark.sql import functions as F
-
 from tidemark.operators import audit
 from tidemark.operators.provenance import upsert
 from tidemark.session import new_path

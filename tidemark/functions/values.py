@@ -50,11 +50,6 @@ def parse_amount(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "[$,]", "").try_cast("double")
 
 
-def digit_set(text: Column) -> Column:
-    """The different ASCII digits in a text."""
-    return F.array_distinct(F.split(F.regexp_replace(text, "[^0-9]", ""), ""))
-
-
 def digit_overlap(old: Column, new: Column) -> Column:
     """Shared digits over all digits of two texts; null when either has none.
 

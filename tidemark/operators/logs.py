@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import share
 from tidemark.operators.ordered import last_before
 
-# Limits of the log questions and rules, and monthly prices per GB.
+# Limits of the log questions and rules, and the monthly price per GB.
 SLOW_MS, SLOW_SHOWN = 5000, 20
 TOP_SHOWN = 10
 ABORT_MS, CPU_LIMIT, SPILL_LIMIT = 300_000, 100_000, 100_000
 SHORT_QUEUE_MS = 60_000
 UNSORTED_LIMIT = 0.10
 STORAGE_PRICE = 0.03
-INGEST_PRICE = 0.50
 ALARM_PERIOD = "5 minutes"
 
 # The standing alarms as (name, metric, statistic, threshold, inclusive, periods, missing data).

@@ -19,7 +19,6 @@ OLD_AFTER_DAYS = 730
 SCORES = {"obvious": (0.95, 0.92), "superseded": (0.85, 0.80), "weak": (0.85, 0.75), "stale": (0.75, 0.60), "unused": (0.60, 0.30)}
 KEEP_SCORE, KEEP_SAFE = 0.88, 0.05
 ARCHIVE_ABOVE, REVIEW_FROM = 0.9, 0.7
-SAFE_FROM = 0.9
 PRICE_PER_TB_MONTH = 3.0
 SIMILAR_FROM = 0.85
 

@@ -176,9 +176,6 @@ def new_type_drift(t):
     return a.new_type_drift(transform_log(t), 60)
 
 
-_DOT = "list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
-
-
 @query("embedding_drift", """
 SELECT vec_id, round(1.0 - list_cosine_similarity(old::DOUBLE[], new::DOUBLE[]), 6) AS distance,
   1.0 - list_cosine_similarity(old::DOUBLE[], new::DOUBLE[]) > 0.15 AS drift

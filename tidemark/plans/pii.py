@@ -65,9 +65,6 @@ def _tables_sql() -> dict:
     }
 
 
-_KINDS = list(p.VALUE_PATTERNS)
-
-
 def _scan_sql() -> str:
     parts = []
     for table, (source, columns) in _tables_sql().items():

@@ -128,9 +128,6 @@ def distribution_check(t):
     return q.distribution_order(t.documents, "lang", "en", "de")
 
 
-_STAGE_DATES = ["appointment_date", "qualified_date", "presentation_date", "decision_date", "contract_date", "closed_date"]
-
-
 @query("stage_order_check", f"""
 SELECT o_orderkey, (qualified_date IS NULL OR (presentation_date IS NOT NULL AND presentation_date <= qualified_date))
   AND (decision_date IS NULL OR (qualified_date IS NOT NULL AND qualified_date <= decision_date)) AS swapped_ok FROM ({stages_sql()})

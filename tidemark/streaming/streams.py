@@ -113,7 +113,7 @@ def upsert_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Writes each micro-batch, reduced to its newest row per key, to a folder of its own number.
 
     A batch that is run again replaces its own folder, so nothing counts twice. ``read_upserts`` merges
-    on read; ``compact_upserts`` folds the batches into a new base.
+    on read.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -125,6 +125,4 @@ def upsert_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
 def read_upserts(spark: SparkSession, folder: str, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
     """The table after all batches: newest row per key, deleted keys left out."""
     rows = spark.read.parquet(f"{folder}/changes").drop("batch")
-    if dataset_exists(spark, f"{folder}/base"):
-        rows = rows.unionByName(spark.read.parquet(f"{folder}/base"))
     return latest(rows, keys, order).filter(F.col(op) != "delete").drop(op)
