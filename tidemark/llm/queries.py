@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import bpe, exact_dedup, language_id, mixing
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,29 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PAR
 """)
 def op2(spark, folder):
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
+
+
+@query("op3_block_mixing", mixing.SQL)
+def op3(spark, folder):
+    return mixing.words_taken(table(spark, folder, "documents"))
+
+
+@query("op5_matrix_bpe")
+def op5(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op4_language_mixture")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language_id.learn(docs.filter(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
