@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, mixing
+from tidemark.llm import bpe, exact_dedup, language_id, mixing, quality, substring_dedup
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,15 @@ def op4(spark, folder):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = language_id.learn(docs.filter(~held_out))
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_bradley_terry_quality")
+def op1(spark, folder):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scores = quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query("op9_super_kmer_dedup")
+def op9(spark, folder):
+    return substring_dedup.removal_report(table(spark, folder, "documents"))
