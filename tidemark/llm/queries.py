@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, mixing, quality, substring_dedup
+from tidemark.llm import bpe, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op1(spark, folder):
 @query("op9_super_kmer_dedup")
 def op9(spark, folder):
     return substring_dedup.removal_report(table(spark, folder, "documents"))
+
+
+@query("op7_order_minhash")
+def op7(spark, folder):
+    return near_dedup.mark_near_copies(table(spark, folder, "documents"))
