@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality, substring_dedup, vector_search
+from tidemark.llm import bpe, exact_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, substring_dedup, vector_search
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,8 +79,8 @@ def op7(spark, folder):
 
 @query("op10_kd_tree_search", """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
   FROM whole q JOIN whole c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -96,3 +96,8 @@ def op10(spark, folder):
 def op8(spark, folder):
     texts = html_text.main_text(table(spark, folder, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_license_scan", licenses.sql())
+def op6(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
