@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
     """The columns ``keep``, ``lang_pred``, ``score`` and ``languages``, a map of the proportions above 0."""
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    chosen = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    chosen = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     mix = T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))
     schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), mix])
 
