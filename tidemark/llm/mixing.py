@@ -98,7 +98,7 @@ def plan_mix(rows: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame
     before = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = cut_lineage(bins.select("*", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("block_offset")))
     totals = bins.groupBy("rank").agg(F.sum("blocks").alias("blocks")).join(sources.select("rank", "source_size", "target"), "rank")
-    wanted = F.least(MOST_REPEATS * F.col("blocks"), F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5))
+    wanted = F.least(MOST_REPEATS * F.col("blocks"), F.floor(F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0)) + 0.5))
     totals = totals.withColumn("slots", F.coalesce(wanted, F.lit(0)).cast("long"))
     first = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     quotas = cut_lineage(totals.select("rank", "blocks", "slots", F.coalesce(F.sum("slots").over(first), F.lit(0)).alias("first_slot")))
@@ -161,8 +161,9 @@ def mixed(docs: DataFrame, block_words: int) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     chosen = F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int"))))
     text = F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(F.concat_ws(" ", chosen))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else joined[c] for c in docs.columns]
-    return joined.select(*columns)
+    taken = joined.withColumn("__text", text)
+    columns = [F.col("__text") if c == "text" else F.length("__text").cast("long") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return taken.select(*[column.alias(c) for column, c in zip(columns, docs.columns, strict=True)])
 
 
 def _permuted_sql(relation: str, x: str, n: str, seed: str, out: str) -> str:
