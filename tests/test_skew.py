@@ -161,14 +161,14 @@ def test_auto_select_splits_by_size(spark):
     assert found == {(1, "optimal"), (2, "knapsack"), (3, "greedy")}
 
 
-@pytest.mark.parametrize("most_bits", [1 << 26, 1])
-def test_screen_loses_nothing(spark, most_bits):
+def test_search_loses_nothing(spark):
     rows = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("id")))
-    keys = spark.range(0, 20_000, 97).withColumnRenamed("id", "key").unionByName(spark.createDataFrame([(7,)], "key bigint"))
+    keys = spark.range(0, 20_000, 97).withColumnRenamed("id", "key").unionByName(spark.createDataFrame([(7,), (None,)], "key bigint"))
     exact = rows.join(keys, rows.k == keys.key, "left_semi").count()
-    screened = search.bloom_screen(rows, "k", keys, "key", most_bits=most_bits)
-    assert exact <= screened.count() <= exact + 200
-    assert search.exact_verify(screened, "k", keys, "key").count() == exact
+    assert search.exact_verify(rows, "k", keys, "key").count() == exact
+    found = search.certainty_search({"a": (rows, "k"), "b": (rows.limit(0), "id"), "c": (rows, "id")}, keys, "key").collect()
+    assert sum(r.matches for r in found if r.dataset == "a") == exact
+    assert sum(r.matches for r in found if r.dataset == "c") == 208 and {r.dataset for r in found} == {"a", "c"}
 
 
 def test_interrupted_run_equals_one_run(spark):

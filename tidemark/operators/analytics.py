@@ -8,11 +8,13 @@ adaptive execution choose from the sizes they see, and split skewed partitions.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import money, money_sum, share
+from tidemark.operators.ordered import join_null_safe
 
 
 def date_range(df: DataFrame, column: str, first: str, last: str | None = None) -> DataFrame:
@@ -79,17 +81,23 @@ def orphans(children: DataFrame, child_key: str, parents: DataFrame, parent_key:
 def match_to_block(
     left: DataFrame, right: DataFrame, block: Sequence[str], record: str, compared: Sequence[str]
 ) -> DataFrame:
-    """Links each left record to the first right record of its block, scored on other columns.
+    """Links each left record to the right record of its block that agrees on most other columns.
 
-    One representative per block keeps the result linear: no pairs within a block are formed.
+    Null equals null in the compared columns, not in the block; ties go to the least right record. For every
+    set of compared columns the block's records are reduced to one per combination of values, so a
+    left record meets the best record by a few joins on unique keys and no pairs within a block are formed.
     """
-    first = right.groupBy(*block).agg(F.min(F.struct(record, *compared)).alias("_match"))
-    score = sum((F.col(c).eqNullSafe(F.col(f"_match.{c}")).cast("int") for c in compared), F.lit(0))
-    return left.join(first, list(block)).select(
-        F.col(record).alias("left_record"),
-        F.col(f"_match.{record}").alias("right_record"),
-        (score / len(compared)).alias("score"),
-    )
+    found, by_size = left.dropna(subset=list(block)), {}
+    named = right.dropna(subset=list(block))
+    for size in range(len(compared), -1, -1):
+        for place, same in enumerate(combinations(compared, size)):
+            name = f"_match_{size}_{place}"
+            best = named.groupBy(*block, *same).agg(F.min(record).alias(name))
+            found = join_null_safe(found, best, [*block, *same], "left")
+            by_size.setdefault(size, []).append(F.col(name))
+    least = {size: F.array_min(F.array_compact(F.array(*names))) for size, names in by_size.items()}
+    score = F.coalesce(*[F.when(match.isNotNull(), float(size / len(compared))) for size, match in least.items()])
+    return found.select(F.col(record).alias("left_record"), F.coalesce(*least.values()).alias("right_record"), score.alias("score")).filter("right_record IS NOT NULL")
 
 
 def monthly_kpis(df: DataFrame, when: str, amount: str, customer: str) -> DataFrame:

@@ -27,15 +27,15 @@ def assign_batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     return placed.withColumn("batch", F.floor((F.col("_pos") - 1) / size)).drop("_pos")
 
 
-def adaptive_batch_size(df: DataFrame, group: str, row_id: str, size: Column) -> DataFrame:
-    """Rows per batch for a target memory, from the mean size of each group's first rows.
+def adaptive_batch_size(df: DataFrame, group: str, row_id: str, size: Column, sampled_rows: int | None = None) -> DataFrame:
+    """Rows per batch for a target memory, from the mean size of each group's rows.
 
-    The rank limit also applies before the shuffle, so a large group sends few rows.
+    ``sampled_rows`` takes only so many first rows of each group; that limit also applies before the shuffle.
     """
-    order = Window.partitionBy(group).orderBy(row_id)
-    sampled = df.select(group, row_id, size.alias("_size")).withColumn("_rank", F.row_number().over(order)).filter(
-        F.col("_rank") <= SAMPLED_ROWS
-    )
+    sampled = df.select(group, row_id, size.alias("_size"))
+    if sampled_rows is not None:
+        order = Window.partitionBy(group).orderBy(row_id)
+        sampled = sampled.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sampled_rows)
     means = sampled.groupBy(group).agg(share(F.sum("_size"), F.count(F.lit(1))).alias("mean_size"))
     wanted = F.floor(F.lit(TARGET_BYTES) / F.col("mean_size"))
     return means.withColumn(

@@ -36,6 +36,8 @@ VALUE_PATTERNS = {  # type: whole-value pattern, confidence
 }
 EMBEDDED_EMAIL = r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"  # one character before the @ is enough to tell
 EMBEDDED_CONFIDENCE = 0.85
+IDENTIFIER_CHARACTERS = "A-Za-z0-9._%+@-"
+LONGEST_NUMBER = 21  # no value pattern but that of e-mail matches more than 19 characters and a line end
 BIRTH_CONFIDENCE = 0.75
 YOUNGEST, OLDEST = 18, 80
 MOST_VALUES = 0.5
@@ -79,7 +81,8 @@ def scan_values(table: str, df: DataFrame, columns: Sequence[str], as_of: str) -
         # A quick look for a needed character keeps the regular expressions off long texts.
         measures[(c, "values")] = F.count(value)
         for kind, (pattern, _) in VALUE_PATTERNS.items():
-            measures[(c, kind)] = F.count_if((F.length(value) <= 254) & value.rlike(pattern))
+            possible = F.contains(value, F.lit("@")) if kind == "EMAIL" else F.length(value) <= LONGEST_NUMBER
+            measures[(c, kind)] = F.count_if(possible & value.rlike(pattern))
         measures[(c, "IN_TEXT")] = F.count_if(F.contains(value, F.lit("@")) & value.rlike(EMBEDDED_EMAIL))
         measures[(c, "DATE_OF_BIRTH")] = F.count_if((F.length(value) == 10) & _is_birth_date(value, day))
         measures[(c, "USER_ID")] = F.count_if((F.length(value) == 14) & value.rlike(USER_ID_VALUE))
@@ -154,11 +157,26 @@ def catalog_summary(classified: DataFrame) -> DataFrame:
     )
 
 
+def subject_pattern(identifier: Column) -> Column:
+    """A regular expression for the identifier standing alone: as a whole value, or inside text or JSON
+    with no further identifier character beside it. A full stop that ends a sentence may follow.
+    """
+    quoted = F.regexp_replace(identifier, r"([\x21-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7e])", r"\\$1")
+    other = f"[^{IDENTIFIER_CHARACTERS}]"
+    return F.concat(F.lit(f"(^|{other})"), quoted, F.lit(f"($|{other}|\\.($|[^A-Za-z0-9_]))"))
+
+
+def holds_subject(column: Column, identifier: Column) -> Column:
+    """Whether a value is, or contains as a whole, the identifier; a plain search spares most regular expressions."""
+    value = column.cast("string")
+    return F.coalesce(F.contains(value, identifier) & F.regexp_like(value, subject_pattern(identifier)), F.lit(False))
+
+
 def find_subject(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], identifier: Column) -> DataFrame:
-    """(table, column) pairs whose text holds the identifier, nested text included, with row counts."""
+    """(table, column) pairs that hold the identifier (``holds_subject``), nested text included, with row counts."""
     parts = []
     for name, (df, columns) in tables.items():
-        counted = df.agg(*[F.count_if(F.contains(F.col(c).cast("string"), identifier)).alias(c) for c in columns])
+        counted = df.agg(*[F.count_if(holds_subject(F.col(c), identifier)).alias(c) for c in columns])
         rows = F.array(*[
             F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.col(c).alias("rows")) for c in columns
         ])
@@ -167,21 +185,21 @@ def find_subject(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], identifi
 
 
 def erasure_plan(locations: DataFrame, identifier: Column) -> DataFrame:
-    """A statement per location; quotes in the identifier are doubled."""
-    safe = F.replace(identifier, F.lit("'"), F.lit("''"))
+    """A statement per location, with the condition of ``erase_subject``; quotes are doubled."""
+    safe = F.replace(subject_pattern(identifier), F.lit("'"), F.lit("''"))
     return locations.withColumn(
         "statement",
         F.concat(
-            F.lit("DELETE FROM "), "table", F.lit(" WHERE "), "column", F.lit(" LIKE '%"), safe, F.lit("%';")
+            F.lit("DELETE FROM "), "table", F.lit(" WHERE regexp_like("), "column", F.lit(", '"), safe, F.lit("');")
         ),
     )
 
 
 def erase_subject(df: DataFrame, columns: Sequence[str], identifier: Column) -> DataFrame:
-    """The table without the rows that hold the identifier."""
+    """The table without the rows that hold the identifier; rows of other people stay."""
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.coalesce(F.contains(F.col(c).cast("string"), identifier), F.lit(False))
+        hit = hit | holds_subject(F.col(c), identifier)
     return df.filter(~hit)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import checksum, share
 from tidemark.operators.analytics import latest
-from tidemark.sources.files import dataset_exists
+from tidemark.session import cut_lineage
+from tidemark.sources.files import is_complete
 
 
 def build_patches(
@@ -70,16 +71,23 @@ def resume(
     folder: str,
     limit: Column | None = None,
 ) -> DataFrame:
-    """Processes the units of work that the manifest does not list yet, and returns all results.
+    """Processes the units of work that are new or have changed, and returns all results.
 
-    Each run overwrites only the result partitions of its own units and lists them in the manifest
-    afterwards, so a run that died half way is simply repeated. ``limit`` restricts a run to some units.
+    The manifest lists what was in each unit (number of rows and a digest of them) before it was processed. A unit is open
+    while its rows differ from what the manifest says, so a row that arrives late, or while a run is under
+    way, opens its unit again. Each run overwrites only the result partitions of its own units and
+    lists them afterwards, so a run that died half way is simply repeated. ``limit`` restricts a run to some units.
     """
     results, manifest = f"{folder}/results", f"{folder}/manifest"
-    todo = work if limit is None else work.filter(limit)
-    if dataset_exists(spark, manifest):
-        todo = todo.join(spark.read.parquet(manifest).select(unit), unit, "left_anti")
-    done = process(todo)
+    part = work if limit is None else work.filter(limit)
+    row = F.xxhash64(*[F.col(c) for c in sorted(work.columns)])
+    listed = part.groupBy(unit).agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("digest"))
+    if is_complete(spark, manifest):
+        listed = listed.join(spark.read.parquet(manifest).select(unit, "rows", "digest"), [unit, "rows", "digest"], "left_anti")
+    open_units = cut_lineage(listed)
+    if open_units.isEmpty():
+        return spark.read.parquet(results)
+    done = process(part.join(open_units.select(unit), unit, "left_semi"))
     (
         done.hint("rebalance", F.col(unit))
         .write.mode("overwrite")
@@ -87,7 +95,7 @@ def resume(
         .partitionBy(unit)
         .parquet(results)
     )
-    todo.select(unit).distinct().withColumn("status", F.lit("done")).write.mode("append").parquet(manifest)
+    open_units.withColumn("status", F.lit("done")).write.mode("append").parquet(manifest)
     return spark.read.parquet(results)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,16 +134,17 @@ def temporal_relation(left: DataFrame, right: DataFrame, key: str, first: str, s
     )
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, join_levels: int = 8) -> DataFrame:
     """Nodes reached from the starts along ``src`` → ``dst``, with depth and the least shortest path.
 
-    One round per level; every level is checkpointed in the shared folder, so plans stay short and
-    a lost executor costs no earlier level. Nodes seen before are left out, so cycles end.
+    One round per level, until a level finds nothing new; every level is written to the shared folder, so
+    plans stay short and a lost executor costs no earlier level. Nodes seen before are left out, so cycles
+    end. Every ``join_levels`` levels the nodes seen so far become one dataset again.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
     frontier = cut_lineage(starts.select("node", F.lit(0).alias("depth"), F.col("node").alias("path")))
     seen = frontier
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = frontier.join(links, frontier["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(
             F.min(F.concat("path", F.lit(">"), "dst")).alias("path")
         )
@@ -152,6 +154,8 @@ def reach(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % join_levels == 0:
+            seen = cut_lineage(seen)
     return seen
 
 
@@ -167,16 +171,17 @@ def join_paths(keys: DataFrame, start: str) -> DataFrame:
     return reach(edges, starts)
 
 
-def connected_groups(edges: DataFrame, most: int = 100) -> DataFrame:
+def connected_groups(edges: DataFrame) -> DataFrame:
     """Least node id of each connected group, for the nodes that have an edge.
 
-    Labels spread to neighbours and from each label's own label, so long chains halve each round.
+    Labels spread to neighbours and from each label's own label, so long chains halve each round; labels
+    only ever fall, so the rounds end when none changes.
     """
     links = cut_lineage(
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     )
     labels = cut_lineage(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("grp")))
-    for _ in range(most):
+    while True:
         near = links.join(labels.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node")).agg(
             F.min("grp").alias("near")
         )
@@ -189,7 +194,6 @@ def connected_groups(edges: DataFrame, most: int = 100) -> DataFrame:
         labels = jumped.select("node", "grp")
         if not changed:
             return labels
-    raise RuntimeError("groups did not settle")
 
 
 def group_rate_test(df: DataFrame, group: str, hit: Column) -> DataFrame:

@@ -1,9 +1,4 @@
-"""Exact search for keys or conditions over many tables, behind a Bloom pre-filter.
-
-The filter is filled from the complete key set, so it never loses a match. It is used only while
-its bits stay below a fixed size; beyond that the key sets meet in an ordinary semi-join, which is
-exact and needs no memory for the keys.
-"""
+"""Exact search for keys or conditions over many tables, by semi-joins and pushed-down filters."""
 
 from __future__ import annotations
 
@@ -16,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import share
 from tidemark.operators.analytics import union_tables
 
-MOST_BITS = 1 << 26
 WORD = 64
 
 
@@ -50,31 +44,6 @@ def bloom_build(keys: DataFrame, key: str, error: float = 0.001) -> tuple[DataFr
     return words, bits, hashes
 
 
-def _packed(words: DataFrame, bits: int):
-    """All words as one array: at most ``MOST_BITS`` bits, which the caller has checked."""
-    spark = words.sparkSession
-    every = spark.range(bits // WORD).withColumnRenamed("id", "word").join(words, "word", "left")
-    listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.agg(listed.alias("w")).select(F.col("w.bits")).scalar()
-
-
-def bloom_screen(rows: DataFrame, column: str, keys: DataFrame, key: str, error: float = 0.001, most_bits: int = MOST_BITS) -> DataFrame:
-    """Rows whose key may be in the set: all true matches, and about ``error`` of the others.
-
-    The packed bits reach the tasks as one subquery value. When the keys would need more than
-    ``most_bits``, an exact semi-join takes its place.
-    """
-    words, bits, hashes = bloom_build(keys, key, error)
-    if bits > most_bits:
-        return rows.join(keys.select(F.col(key).alias(column)), column, "left_semi")
-    packed = _packed(words, bits)
-    kept = F.col(column).isNotNull()
-    for spot in _positions(F.col(column).cast(dict(keys.dtypes)[key]), bits, hashes):
-        word = F.element_at(packed, (F.floor(spot / WORD) + 1).cast("int"))
-        kept = kept & (F.getbit(word, (spot % WORD).cast("int")) == 1)
-    return rows.filter(kept)
-
-
 def exact_verify(candidates: DataFrame, column: str, keys: DataFrame, key: str, conditions: Mapping[str, Column] = {}) -> DataFrame:
     """Candidates whose key is in the set and that meet every condition, with the reason."""
     found = candidates.join(keys.select(F.col(key).alias(column)).distinct(), column, "left_semi")
@@ -100,38 +69,16 @@ def pattern_search(tables: Mapping[str, tuple[DataFrame, str, Mapping[str, Colum
     return union_tables(parts)
 
 
-def certainty_search(
-    tables: Mapping[str, tuple[DataFrame, str]], keys: DataFrame, key: str, error: float = 0.001
-) -> DataFrame:
-    """Exact matches of a key set in several tables: screen, verify, union, count per dataset and key."""
-    parts = []
-    for name, (df, column) in tables.items():
-        # Only the key column is read, and equal keys are counted before anything moves.
-        screened = bloom_screen(df.select(column), column, keys, key, error)
-        counted = screened.groupBy(column).agg(F.count(F.lit(1)).alias("matches"))
-        verified = exact_verify(counted, column, keys, key)
-        parts.append(verified.select(F.lit(name).alias("dataset"), F.col(column).alias("key"), "matches", "confidence"))
-    return union_tables(parts)
+def certainty_search(tables: Mapping[str, tuple[DataFrame, str]], keys: DataFrame, key: str) -> DataFrame:
+    """Exact matches of a key set in several tables, counted per dataset and key.
 
-
-def screen_metrics(rows: DataFrame, column: str, keys: DataFrame, key: str, error: float = 0.001) -> DataFrame:
-    """Candidates, true matches, false-hit share, precision and recall of a screen."""
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
-
-    candidates = counted(bloom_screen(rows, column, keys, key, error), "candidates")
-    wanted = keys.select(F.col(key).alias(column)).distinct().withColumn("wanted", F.lit(True))
-    joined = counted(rows, "rows").join(candidates, column, "left").join(wanted, column, "left")
-    hit = F.coalesce("candidates", F.lit(0))
-    true = F.when(F.col("wanted"), F.col("rows")).otherwise(0)
-    found = F.when(F.col("wanted"), hit).otherwise(0)
-    return joined.agg(
-        F.sum("rows").alias("rows"), F.sum(hit).alias("candidates"), F.sum(true).alias("matches"),
-        share(F.sum(hit) - F.sum(found), F.sum("rows") - F.sum(true)).alias("false_hit_share"),
-        share(F.sum(found), F.sum(hit)).alias("precision"),
-        share(F.sum(found), F.sum(true)).alias("recall"),
-    )
+    Only key columns are read. Equal keys are counted where they are read, and one join with the different keys, which
+    adds no rows, serves all tables.
+    """
+    wanted = keys.select(F.col(key).cast("string").alias("key")).filter("key IS NOT NULL").distinct()
+    held = union_tables([df.select(F.lit(name).alias("dataset"), F.col(column).cast("string").alias("key")) for name, (df, column) in tables.items()])
+    counted = held.filter("key IS NOT NULL").groupBy("dataset", "key").agg(F.count(F.lit(1)).alias("matches"))
+    return counted.join(wanted, "key").select("dataset", "key", "matches", F.lit(1.0).alias("confidence"))
 
 
 def sampling_recall(rows: DataFrame, row_id: Column, hit: Column, shares: Sequence[float]) -> DataFrame:

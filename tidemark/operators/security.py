@@ -11,7 +11,7 @@ from tidemark.functions.rules import first_match
 from tidemark.operators.ordered import running
 
 # The ten substrings of the basic scan, in the order they are tried.
-SUBSTRINGS = ["';", "--", "DROP ", "DELETE ", "INSERT ", "UPDATE ", "/*", "*/", "XP_", "SP_"]
+SUBSTRINGS = ["';", "--", "DROP ", "DELETE ", "INSERT ", "UPDATE ", "/*", "*/", "xp_", "sp_"]
 
 # The patterns of the full scan as (family, text that must occur, regular expression).
 PATTERNS = [
@@ -53,7 +53,7 @@ def _upper_once(rows: DataFrame, text: str) -> DataFrame:
 
 def basic_scan(rows: DataFrame, text: str, out: str = "matched_pattern", allowed: Sequence[str] = ()) -> DataFrame:
     """Adds the first of the ten substrings found, ignoring case; null for a clean or allowed value."""
-    found = first_match([(F.contains("_upper", F.lit(p)), p) for p in SUBSTRINGS])
+    found = first_match([(F.contains("_upper", F.lit(p.upper())), p) for p in SUBSTRINGS])
     if allowed:
         found = F.when(~F.col(text).isin(list(allowed)), found)
     return _upper_once(rows, text).withColumn(out, found).drop("_upper")

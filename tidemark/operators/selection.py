@@ -23,7 +23,6 @@ TIERS = {"critical": 15, "high": 10, "medium": 5, "low": 1}
 TABLE_WORDS = [(("user", "customer"), 15), (("order", "transaction"), 10), (("analytics", "log"), 5)]
 
 # Salts per token size, and the rows a size may keep after the salted level.
-LARGEST_DROPPED = 1000
 FEWEST_SALTS, MOST_SALTS, SALTED_ROWS = 64, 65_536, 1 << 24
 
 
@@ -57,15 +56,14 @@ def group_sizes(items: DataFrame) -> DataFrame:
 
 
 def of_size(items: DataFrame, least: int, most: int) -> DataFrame:
-    """Items of the groups whose size lies in the range.
+    """Items of the groups whose size lies in the range; ``left_out`` names the other groups."""
+    return items.join(group_sizes(items).filter(F.col("items").between(least, most)).select("grp"), "grp", "left_semi")
 
-    The largest groups beyond the range, at most ``LARGEST_DROPPED`` of them, are dropped first by a
-    broadcast of their names, so that no task has to read a huge group only to discard it.
-    """
-    sizes = group_sizes(items)
-    largest = sizes.filter(F.col("items") > most).orderBy(F.col("items").desc()).limit(LARGEST_DROPPED).select("grp")
-    rest = items.join(F.broadcast(largest), "grp", "left_anti")
-    return rest.join(sizes.filter(F.col("items").between(least, most)).select("grp"), "grp", "left_semi")
+
+def left_out(items: DataFrame, least: int, most: int) -> DataFrame:
+    """The groups that a method for ``least`` to ``most`` items does not take: ``grp, items, reason``."""
+    reason = F.when(F.col("items") < least, f"fewer than {least} items").otherwise(f"more than {most} items")
+    return group_sizes(items).filter(~F.col("items").between(least, most)).withColumn("reason", reason)
 
 
 def greedy_select(items: DataFrame, budget: int, least: int = 0) -> DataFrame:
@@ -164,14 +162,19 @@ def exhaustive_select(items: DataFrame, budget: int, most: int = EXHAUSTIVE_ITEM
     return _solve_groups(of_size(items.select("grp", "item", "tokens", "priority"), 1, most), solve)
 
 
-def auto_select(items: DataFrame, most_tokens: int, safe: float = SAFE_SHARE) -> DataFrame:
-    """Exhaustive up to ten items, knapsack up to fifty, greedy beyond, on the safe part of the budget."""
+def auto_select(
+    items: DataFrame, most_tokens: int, safe: float = SAFE_SHARE, exhaustive: int = EXHAUSTIVE_ITEMS, knapsack: int = KNAPSACK_ITEMS
+) -> DataFrame:
+    """Exhaustive up to ``exhaustive`` items, knapsack up to ``knapsack``, greedy beyond, on the safe part of the budget.
+
+    Every group is taken by one method; 0 for both limits asks for greedy choice everywhere.
+    """
     budget = int(most_tokens * safe)
     columns = ["grp", "item", "tokens", "priority"]
     parts = {
-        "optimal": exhaustive_select(items, budget),
-        "knapsack": knapsack_select(items, budget),
-        "greedy": greedy_select(items, budget, KNAPSACK_ITEMS + 1),
+        "optimal": exhaustive_select(items, budget, exhaustive),
+        "knapsack": knapsack_select(items, budget, exhaustive + 1, knapsack),
+        "greedy": greedy_select(items, budget, max(exhaustive, knapsack) + 1),
     }
     out = None
     for strategy, part in parts.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,7 +134,8 @@ def similar_schemas(columns: DataFrame, least: float = SIMILAR_FROM) -> tuple[Da
         "signature", "n", F.explode(F.expr(f"slice(rare, 1, cast(n - ceil({least} * n) + 1 AS int)).name")).alias("name")
     )
     left, right = prefix.alias("l"), prefix.alias("r")
-    near = (F.col("l.n") >= F.ceil(F.lit(least) * F.col("r.n"))) & (F.col("r.n") >= F.ceil(F.lit(least) * F.col("l.n")))
+    exact = F.lit(Decimal(str(least)))  # a double would round 0.55 * 100 up
+    near = (F.col("l.n") >= F.ceil(exact * F.col("r.n"))) & (F.col("r.n") >= F.ceil(exact * F.col("l.n")))
     candidates = left.join(
         right, (F.col("l.name") == F.col("r.name")) & (F.col("l.signature") < F.col("r.signature")) & near
     ).select(F.col("l.signature").alias("a"), F.col("r.signature").alias("b")).distinct()

@@ -128,9 +128,9 @@ def semantic_key_join(t):
 WITH m AS ({MULTI_SOURCE}),
 l AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS p, lower(last_name) AS n FROM m WHERE source = 'A'),
 r AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS p, lower(last_name) AS n FROM m WHERE source = 'B'),
-b AS (SELECT p, n, arg_min(struct_pack(record_id, first_name, email), record_id) AS x FROM r GROUP BY p, n)
-SELECT l.record_id AS left_record, x.record_id AS right_record,
-  ((l.first_name = x.first_name)::INTEGER + (l.email = x.email)::INTEGER) / 2.0::DOUBLE AS score FROM l JOIN b USING (p, n)
+x AS (SELECT l.record_id AS left_record, r.record_id AS right_record,
+  ((l.first_name IS NOT DISTINCT FROM r.first_name)::INTEGER + (l.email IS NOT DISTINCT FROM r.email)::INTEGER) / 2.0::DOUBLE AS score FROM l JOIN r USING (p, n))
+SELECT left_record, right_record, score FROM x QUALIFY row_number() OVER (PARTITION BY left_record ORDER BY score DESC, right_record) = 1
 """)
 def entity_match(t):
     keyed = multi_source(t).withColumns({

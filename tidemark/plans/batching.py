@@ -23,7 +23,7 @@ SELECT source, mean_size, greatest(10, least(floor(52428800 / mean_size), 10000)
  SELECT source, sum(n * 200)::DOUBLE / count(*) AS mean_size FROM (SELECT source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 100 GROUP BY source)
 """)
 def adaptive_batch_size(t):
-    return b.adaptive_batch_size(t.documents, "source", "doc_id", F.col("n_chars") * 200)
+    return b.adaptive_batch_size(t.documents, "source", "doc_id", F.col("n_chars") * 200, sampled_rows=b.SAMPLED_ROWS)
 
 
 @query("batched_map", "SELECT doc_id, length(text) AS characters FROM documents")

@@ -69,7 +69,7 @@ def _scan_sql() -> str:
     parts = []
     for table, (source, columns) in _tables_sql().items():
         for c in columns:
-            counts = ", ".join(f"count(*) FILTER (length({c}) <= 254 AND regexp_matches({c}, '{pattern}')) AS {kind}" for kind, (pattern, _) in p.VALUE_PATTERNS.items())
+            counts = ", ".join(f"count(*) FILTER (regexp_matches({c}, '{pattern}')) AS {kind}" for kind, (pattern, _) in p.VALUE_PATTERNS.items())
             parts.append(f"""SELECT '{table}' AS tbl, '{c}' AS col, count({c}) AS n, {counts}, count(*) FILTER (regexp_matches({c}, '{p.EMBEDDED_EMAIL}')) AS IN_TEXT,
  count(*) FILTER (length({c}) = 10 AND date_diff('year', TRY_CAST({c} AS DATE), DATE '{AS_OF}') - CASE WHEN strftime(TRY_CAST({c} AS DATE), '%m%d') > '0601' THEN 1 ELSE 0 END BETWEEN 18 AND 80) AS DATE_OF_BIRTH,
  count(*) FILTER (length({c}) = 14 AND regexp_matches({c}, '{p.USER_ID_VALUE}')) AS USER_ID FROM {source}""")
@@ -167,15 +167,18 @@ def pii_accuracy(t):
 def subject(t):
     """The address of the customer with the most orders."""
     most = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "o_custkey").limit(1)
-    return most.select(F.concat(F.lit("user"), F.col("o_custkey").cast("string"), F.lit("@"))).scalar()
+    return most.select(F.concat(F.lit("user"), F.col("o_custkey").cast("string"), F.lit("@example.com"))).scalar()
 
 
-SUBJECT = "(SELECT 'user' || o_custkey || '@' FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1)"
+SUBJECT = "(SELECT 'user' || o_custkey || '@example.com' FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1)"
+
+
+SUBJECT_PATTERN = rf"""('(^|[^{p.IDENTIFIER_CHARACTERS}])' || regexp_replace({SUBJECT}, '([\x21-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7e])', '\\\1', 'g') || '($|[^{p.IDENTIFIER_CHARACTERS}]|\.($|[^A-Za-z0-9_]))')"""
 
 
 def _locations_sql() -> str:
     parts = [
-        f"""SELECT '{table}' AS "table", '{c}' AS "column", count(*) FILTER (contains({c}, {SUBJECT})) AS rows FROM {source}"""
+        f"""SELECT '{table}' AS "table", '{c}' AS "column", count(*) FILTER (contains({c}, {SUBJECT}) AND regexp_matches({c}, {SUBJECT_PATTERN})) AS rows FROM {source}"""
         for table, (source, columns) in _tables_sql().items() for c in columns
     ]
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE rows > 0"
@@ -187,14 +190,14 @@ def find_subject(t):
 
 
 @query("erasure_plan", f"""
-SELECT *, 'DELETE FROM ' || "table" || ' WHERE ' || "column" || ' LIKE ''%' || {SUBJECT} || '%'';' AS statement FROM ({_locations_sql()})
+SELECT *, 'DELETE FROM ' || "table" || ' WHERE regexp_like(' || "column" || ', ''' || replace({SUBJECT_PATTERN}, '''', '''''') || ''');' AS statement FROM ({_locations_sql()})
 """)
 def erasure_plan(t):
     return p.erasure_plan(find_subject(t), subject(t))
 
 
 @query("erase_subject", f"""
-SELECT c_custkey, email, request_params FROM ({CONTACTS}) WHERE NOT coalesce(contains(email, {SUBJECT}), false) AND NOT contains(request_params, {SUBJECT})
+SELECT c_custkey, email, request_params FROM ({CONTACTS}) WHERE email IS DISTINCT FROM {SUBJECT} AND json_extract_string(request_params, '$.user') IS DISTINCT FROM {SUBJECT}
 """)
 def erase_subject(t):
     return p.erase_subject(contacts(t), CONTACT_COLUMNS, subject(t)).select("c_custkey", "email", "request_params")

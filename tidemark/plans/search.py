@@ -49,34 +49,28 @@ def bloom_build(t):
     return counted.select("keys", F.lit(bits).cast("long").alias("bits"), F.lit(hashes).alias("hashes"))
 
 
-@query("bloom_screen")
-def bloom_screen(t):
-    return s.bloom_screen(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", keys(t), "k")
-
-
 @query("exact_verify", f"""
 SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS confidence, 'l_orderkey in key set AND l_quantity > 25' AS reason FROM lineitem WHERE l_orderkey IN ({KEYS}) AND l_quantity > 25
 """)
 def exact_verify(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
-    candidates = s.bloom_screen(rows, "l_orderkey", keys(t), "k")
-    return s.exact_verify(candidates, "l_orderkey", keys(t), "k", {"l_quantity > 25": F.col("l_quantity") > 25}).drop("l_quantity")
+    return s.exact_verify(rows, "l_orderkey", keys(t), "k", {"l_quantity > 25": F.col("l_quantity") > 25}).drop("l_quantity")
 
 
-CERTAIN = f"""
-SELECT 'lineitem' AS dataset, l_orderkey AS key, count(*) AS matches, 1.0::DOUBLE AS confidence FROM lineitem WHERE l_orderkey IN ({KEYS}) GROUP BY l_orderkey
-UNION ALL SELECT 'events', event_id, count(*), 1.0 FROM events WHERE event_id IN ({KEYS}) GROUP BY event_id
-"""
+#: The column of each table that may hold a key.
+KEY_COLUMNS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
+    "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+}
+CERTAIN = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, {column}::VARCHAR AS key, count(*) AS matches, 1.0::DOUBLE AS confidence FROM {name} WHERE {column} IN ({KEYS}) GROUP BY {column}"
+    for name, column in KEY_COLUMNS.items()
+)
 
 
 @query("certainty_search", CERTAIN)
 def certainty_search(t):
-    return s.certainty_search({"lineitem": (t.lineitem, "l_orderkey"), "events": (t.events, "event_id")}, keys(t), "k")
-
-
-@query("screen_metrics")
-def screen_metrics(t):
-    return s.screen_metrics(t.lineitem, "l_orderkey", keys(t), "k")
+    return s.certainty_search({name: (getattr(t, name), column) for name, column in KEY_COLUMNS.items()}, keys(t), "k")
 
 
 @query("search_progress", f"""
@@ -87,7 +81,7 @@ def search_progress(t):
     wanted = keys(t)
 
     def process(df):
-        found = s.exact_verify(s.bloom_screen(df, "l_orderkey", wanted, "k"), "l_orderkey", wanted, "k")
+        found = s.exact_verify(df, "l_orderkey", wanted, "k")
         return found.groupBy("part").agg(F.count(F.lit(1)).alias("matches"))
 
     folder = new_path(t.spark, "search")

@@ -45,7 +45,7 @@ def inputs(t):
 
 
 def basic_sql(column: str) -> str:
-    cases = " ".join(f"WHEN contains(upper({column}), {_quoted(p)}) THEN {_quoted(p)}" for p in s.SUBSTRINGS)
+    cases = " ".join(f"WHEN contains(upper({column}), {_quoted(p.upper())}) THEN {_quoted(p)}" for p in s.SUBSTRINGS)
     return f"CASE {cases} END"
 
 

@@ -22,9 +22,15 @@ def dataset_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path has ended: it has the marker that Spark leaves when a job commits."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def idempotent_write(df: DataFrame, path: str, partition_by: Sequence[str] = (), force: bool = False) -> bool:
-    """Writes unless the dataset is there already; returns whether it wrote."""
-    if not force and dataset_exists(df.sparkSession, path):
+    """Writes unless the complete dataset is there already; returns whether it wrote. A half-written folder is replaced."""
+    if not force and is_complete(df.sparkSession, path):
         return False
     partitioned_write(df, path, partition_by)
     return True
