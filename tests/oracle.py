@@ -10,6 +10,7 @@ import decimal
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -108,7 +109,7 @@ if __name__ == "__main__":
     folder = f"/root/testdata/sf{args.sf}"
     spark = build_session(
         "oracle", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="oracle-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)

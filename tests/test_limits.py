@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from tidemark.operators import analytics, batching, pii, provenance, relations, selection, usage
+from tidemark.operators import analytics, batching, evolution, pii, provenance, relations, selection, usage
 from tidemark.session import new_path
 from tidemark.sources import files
 
@@ -118,3 +118,26 @@ def test_half_written_folder_is_replaced(spark):
 def test_one_join_serves_all_tables(spark):
     plan = driver.queries()["certainty_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 6 and plan.count("FileScan") == 15
+
+
+def schema(spark, names):
+    return spark.createDataFrame([(1, n, "string") for n in names], "table_id int, name string, type string")
+
+
+def test_splits_of_any_words_and_proof_by_values(spark):
+    old, new = schema(spark, ["address", "cust_id", "tag", "x_code"]), schema(spark, ["street_address", "city_address", "customer_id", "order_id", "a_code", "b_code"])
+    found = evolution.split_merge_candidates(evolution.schema_diff(old, new))
+    assert sorted((r.change, r.whole, tuple(r.parts)) for r in found.collect()) == [("split", "address", ("city_address", "street_address")), ("split", "x_code", ("a_code", "b_code"))]
+    shares = spark.createDataFrame([(1, "address", 0.98), (1, "x_code", 0.1)], "table_id int, whole string, share double")
+    assert [r.whole for r in evolution.proven(found, shares).collect()] == ["address"]
+
+
+def test_statements_undo_each_other(spark):
+    old, new = schema(spark, ["full_name", "home_phone", "work_phone"]), schema(spark, ["first_name", "last_name", "phone"])
+    there = {r.change: (r.statement, r.reverse) for r in evolution.migration_plan(evolution.classify_changes(old, new), F.lit("t")).collect()}
+    back = {r.change: (r.statement, r.reverse) for r in evolution.migration_plan(evolution.classify_changes(new, old), F.lit("t")).collect()}
+    assert set(there) == set(back) == {"split", "merged"}
+    assert there["split"] == back["merged"][::-1] and there["merged"] == back["split"][::-1]
+    rows = spark.createDataFrame([("Ann Lee",)], "full_name string")
+    halves = evolution.apply_migration(rows, [("split", "full_name", ["first_name", "last_name"], " ")])
+    assert halves.columns == ["first_name", "last_name"] and evolution.apply_migration(halves, [("merge", ["first_name", "last_name"], "full_name", " ")]).collect() == rows.collect()

@@ -9,19 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match
 from tidemark.functions.values import share
-from tidemark.session import cut_lineage
 
 # Abbreviations, words of split names, scores and bands.
 ABBREVIATIONS = {
     "cust": "customer", "dt": "date", "amt": "amount", "qty": "quantity", "num": "number",
     "addr": "address", "desc": "description", "ts": "timestamp", "prod": "product", "acct": "account",
 }
-PART_WORDS = ["first", "middle", "last"]
 CONTAINED_SCORE, EXPANDED_SCORE, SHARED_SCORE = 95, 85, 40
 SHARED_BONUS, TYPE_PENALTY = 20, 10
 OBVIOUS_FROM, SEMANTIC_FROM = 0.9, 0.7
@@ -88,39 +86,39 @@ def rename_candidates(diff: DataFrame) -> DataFrame:
 
 def best_renames(candidates: DataFrame) -> DataFrame:
     """Pairs that are each other's best candidate."""
-    rank = [(-F.col("score")).alias("s"), F.col("distance").alias("d")]
-    for_old = candidates.groupBy("table_id", "old_name").agg(F.min(F.struct(*rank, "new_name")).alias("m")).select(
-        "table_id", "old_name", F.col("m.new_name").alias("new_name")
-    )
-    for_new = candidates.groupBy("table_id", "new_name").agg(F.min(F.struct(*rank, "old_name")).alias("m")).select(
-        "table_id", "new_name", F.col("m.old_name").alias("old_name")
-    )
-    both = for_old.join(for_new, ["table_id", "old_name", "new_name"])
-    return candidates.join(both, ["table_id", "old_name", "new_name"], "left_semi")
+    rank = [F.col("score").desc(), "distance"]
+    old = Window.partitionBy("table_id", "old_name").orderBy(*rank, "new_name")
+    new = Window.partitionBy("table_id", "new_name").orderBy(*rank, "old_name")
+    ranked = candidates.select("*", F.row_number().over(old).alias("_old"), F.row_number().over(new).alias("_new"))
+    return ranked.filter("_old = 1 AND _new = 1").drop("_old", "_new")
 
 
 def split_merge_candidates(diff: DataFrame) -> DataFrame:
-    """Removed columns with two or more added parts of the same last word (split), and the reverse."""
+    """One removed column with two or more added ones of the same last word (split), and the reverse (merged).
+
+    A column that only spells out the words of another (``cust_id``, ``customer_id``) is a rename, not a part. Names alone
+    can mislead; where rows of both versions are at hand, ``proven`` keeps the candidates that the values bear out.
+    """
+    full = F.array_join(F.array_sort(expanded_words(F.col("name"))), "_")
+    named = F.struct("name", full.alias("full"))
+    groups = diff.filter("change IN ('removed', 'added')").groupBy("table_id", F.element_at(words(F.col("name")), -1).alias("word")).agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("change") == kind, named))).alias(kind) for kind in ("removed", "added")]
+    )
+    kinds = [("split", "removed", "added"), ("merged", "added", "removed")]
+    either = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("change"), F.get(whole, F.lit(0))["name"].alias("whole"), F.get(whole, F.lit(0))["full"].alias("full"), F.size(whole).alias("wholes"), F.col(parts).alias("parts"))
+        for kind, whole, parts in kinds
+    ])).alias("c")
+    found = groups.select("table_id", either).select("table_id", "c.*").filter((F.col("wholes") == 1) & (F.size("parts") >= 2))
+    return found.filter(~F.array_contains(F.col("parts.full"), F.col("full"))).select("table_id", "change", "whole", F.col("parts.name").alias("parts"))
 
-    def last(column: str) -> Column:
-        return F.element_at(words(F.col(column)), -1)
 
-    def is_part() -> Column:
-        return F.element_at(words(F.col("name")), 1).isin(PART_WORDS)
+def proven(candidates: DataFrame, shares: DataFrame, least: float = SEMANTIC_FROM) -> DataFrame:
+    """The splits and merges whose parts, joined, give the whole in at least this share of rows.
 
-    out = None
-    for kind, whole_change, part_change in (("split", "removed", "added"), ("merged", "added", "removed")):
-        wholes = diff.filter(f"change = '{whole_change}'").filter(~is_part()).select(
-            "table_id", F.col("name").alias("whole"), last("name").alias("word")
-        )
-        parts = diff.filter(f"change = '{part_change}'").filter(is_part()).select(
-            "table_id", F.col("name").alias("part"), last("name").alias("word")
-        )
-        found = wholes.join(parts, ["table_id", "word"]).groupBy("table_id", "whole").agg(
-            F.array_sort(F.collect_set("part")).alias("parts")
-        ).filter(F.size("parts") >= 2).withColumn("change", F.lit(kind))
-        out = found if out is None else out.unionByName(found)
-    return out
+    ``shares`` has ``table_id``, ``whole`` and ``share``, as ``split_share`` finds them.
+    """
+    return candidates.join(shares.filter(F.col("share") >= least).select("table_id", "whole"), ["table_id", "whole"], "left_semi")
 
 
 def split_share(rows: DataFrame, whole: str, parts: Sequence[str], separator: str = " ", by: Sequence[str] = ()) -> DataFrame:
@@ -132,12 +130,9 @@ def split_share(rows: DataFrame, whole: str, parts: Sequence[str], separator: st
 
 
 def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All changes of each table with their kind: splits and merges first, then renames, then the rest.
-
-    Each step is used several times, so it is checkpointed in the shared folder.
-    """
-    diff = cut_lineage(schema_diff(old, new).filter("change <> 'same'"))
-    groups = cut_lineage(split_merge_candidates(diff))
+    """All changes of each table with their kind: splits and merges first, then renames, then the rest. Nothing is run or written here."""
+    diff = schema_diff(old, new).filter("change <> 'same'")
+    groups = split_merge_candidates(diff)
     split_rows = groups.select(
         "table_id",
         "change",
@@ -146,7 +141,7 @@ def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     used = groups.select("table_id", F.explode(F.concat(F.array("whole"), "parts")).alias("name"))
     free = diff.join(used, ["table_id", "name"], "left_anti")
-    renames = cut_lineage(best_renames(cut_lineage(rename_candidates(free)))).filter(F.col("score") >= SEMANTIC_FROM).select(
+    renames = best_renames(rename_candidates(free)).filter(F.col("score") >= SEMANTIC_FROM).select(
         "table_id", F.lit("renamed").alias("change"), "old_name", "new_name"
     )
     renamed = renames.select("table_id", F.explode(F.array("old_name", "new_name")).alias("name"))
@@ -179,32 +174,32 @@ def migration_plan(changes: DataFrame, table: Column) -> DataFrame:
     def parts(names: Column, build) -> Column:
         return F.array_join(F.transform(F.split(names, ","), build), ", ")
 
-    split_up = F.concat(
-        alter(" ADD COLUMNS (", parts(new, lambda n: F.concat(n, F.lit(" STRING"))), ")"),
-        update(" SET ", parts(new, lambda n: F.concat(n, F.lit(" = SPLIT_PART("), old, F.lit(", ' ', "),
-               (F.array_position(F.split(new, ","), n)).cast("string"), F.lit(")")))),
-        F.lit(" "), alter(" DROP COLUMN ", old),
-    )
-    join_up = F.concat(
-        alter(" ADD COLUMNS (", old, " STRING)"),
-        update(" SET ", old, " = CONCAT_WS(' ', ", parts(new, lambda n: n), ")"),
-    )
+    def split_up(whole: Column, names: Column) -> Column:
+        value = lambda n: F.concat(n, F.lit(" = SPLIT_PART("), whole, F.lit(", ' ', "), F.array_position(F.split(names, ","), n).cast("string"), F.lit(")"))
+        return F.concat(
+            alter(" ADD COLUMNS (", parts(names, lambda n: F.concat(n, F.lit(" STRING"))), ")"), update(" SET ", parts(names, value)), F.lit(" "), alter(" DROP COLUMN ", whole)
+        )
+
+    def join_up(names: Column, whole: Column) -> Column:
+        return F.concat(
+            alter(" ADD COLUMNS (", whole, " STRING)"), update(" SET ", whole, " = CONCAT_WS(' ', ", parts(names, lambda n: n), ")"), F.lit(" "), alter(" DROP COLUMNS (", parts(names, lambda n: n), ")")
+        )
+
     forward = first_match([
         (F.col("change") == "renamed", alter(" RENAME COLUMN ", old, " TO ", new)),
-        (F.col("change") == "split", split_up),
+        (F.col("change") == "split", split_up(old, new)),
         (F.col("change") == "added", alter(" ADD COLUMN ", new, " ", F.col("new_type"))),
         (F.col("change") == "removed", alter(" DROP COLUMN ", old)),
         (F.col("change") == "type_change", alter(" ALTER COLUMN ", new, " TYPE ", F.col("new_type"))),
-        (F.col("change") == "merged", F.concat(
-            alter(" ADD COLUMNS (", new, " STRING)"), update(" SET ", new, " = CONCAT_WS(' ', ", old, ")"))),
+        (F.col("change") == "merged", join_up(old, new)),
     ])
     reverse = first_match([
         (F.col("change") == "renamed", alter(" RENAME COLUMN ", new, " TO ", old)),
-        (F.col("change") == "split", join_up),
+        (F.col("change") == "split", join_up(new, old)),
         (F.col("change") == "added", alter(" DROP COLUMN ", new)),
         (F.col("change") == "removed", alter(" ADD COLUMN ", old, " ", F.col("old_type"))),
         (F.col("change") == "type_change", alter(" ALTER COLUMN ", new, " TYPE ", F.col("old_type"))),
-        (F.col("change") == "merged", alter(" DROP COLUMN ", new)),
+        (F.col("change") == "merged", split_up(new, old)),
     ])
     return changes.withColumns({"statement": forward, "reverse": reverse})
 

@@ -16,6 +16,7 @@ from tidemark.session import cut_lineage
 # Limits of the tests and the normal quantile they compare with.
 LEAST_SAMPLE = 100
 NORMAL_95 = 1.96
+APPROXIMATION = 0.02  # standard deviation of an estimated count of different values
 INSIGHT_CONFIDENCE = 0.7
 TOP_INSIGHTS = 10
 NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -52,7 +53,7 @@ def column_profile_approx(table: str, df: DataFrame, columns: Sequence[str]) ->
             for c in columns
             for name, m in (
                 ("nulls", F.count_if(F.col(c).isNull())),
-                ("distinct_values", F.approx_count_distinct(c)),
+                ("distinct_values", F.approx_count_distinct(c, APPROXIMATION)),
                 ("least", F.min(c).cast("string")),
                 ("greatest", F.max(c).cast("string")),
             )

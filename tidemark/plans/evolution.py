@@ -50,10 +50,11 @@ def rename_candidates(t):
 
 
 @query("split_merge_candidates", f"""
-SELECT r.table_id, 'split' AS change, r.name AS whole, string_agg(DISTINCT a.name, ',' ORDER BY a.name) AS parts
-FROM ({DIFF}) r JOIN ({DIFF}) a ON r.table_id = a.table_id AND r.change = 'removed' AND a.change = 'added'
- AND split_part(a.name, '_', 1) IN ('first', 'middle', 'last') AND split_part(r.name, '_', 1) NOT IN ('first', 'middle', 'last')
- AND string_split(r.name, '_')[-1] = string_split(a.name, '_')[-1] GROUP BY ALL HAVING count(DISTINCT a.name) >= 2
+WITH g AS (SELECT table_id, list_sort(list(name) FILTER (change = 'removed')) AS r, list_sort(list(name) FILTER (change = 'added')) AS a
+ FROM ({DIFF}) WHERE change IN ('removed', 'added') GROUP BY table_id, string_split(lower(name), '_')[-1]),
+e AS (SELECT table_id, 'split' AS change, r AS w, a AS p FROM g UNION ALL SELECT table_id, 'merged', a, r FROM g)
+SELECT table_id, change, w[1] AS whole, array_to_string(p, ',') AS parts FROM e
+WHERE len(w) = 1 AND len(p) >= 2 AND len(list_filter(p, lambda x: list_sort({_full('x')}) = list_sort({_full('w[1]')}))) = 0
 """)
 def split_merge_candidates(t):
     found = e.split_merge_candidates(schema_diff(t))
@@ -72,8 +73,8 @@ def split_check(t):
     return e.split_share(rows, "full_name", ["first_name", "last_name"], by=["p_type"])
 
 
-# The fixture has one split per table; what is left is matched by name.
-_FREE = f"SELECT * FROM ({DIFF}) WHERE change <> 'same' AND name NOT IN ('full_name', 'first_name', 'last_name')"
+# The fixture has one split and one merge per table; what is left is matched by name.
+_FREE = f"SELECT * FROM ({DIFF}) WHERE change <> 'same' AND name NOT IN ('full_name', 'first_name', 'last_name', 'phone', 'home_phone', 'work_phone')"
 _CANDIDATES = candidates_sql(_FREE)
 CHANGES = f"""
 WITH f AS ({_FREE}), c AS ({_CANDIDATES}),
@@ -81,6 +82,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY table_id, old_name ORDER BY scor
   row_number() OVER (PARTITION BY table_id, new_name ORDER BY score DESC, distance, old_name) AS rn FROM c),
 r AS (SELECT table_id, old_name, new_name FROM b WHERE ro = 1 AND rn = 1 AND score >= 0.7)
 SELECT p_partkey AS table_id, 'split' AS change, 'full_name' AS old_name, 'first_name,last_name' AS new_name, NULL::VARCHAR AS old_type, NULL::VARCHAR AS new_type FROM part
+UNION ALL SELECT p_partkey, 'merged', 'home_phone,work_phone', 'phone', NULL, NULL FROM part
 UNION ALL SELECT table_id, 'renamed', old_name, new_name, NULL, NULL FROM r
 UNION ALL SELECT table_id, change, CASE WHEN change <> 'added' THEN name END, CASE WHEN change <> 'removed' THEN name END, old_type, new_type FROM f
  WHERE (table_id, name) NOT IN (SELECT (table_id, old_name) FROM r) AND (table_id, name) NOT IN (SELECT (table_id, new_name) FROM r)
@@ -96,10 +98,12 @@ def classify_changes(t):
 WITH c AS (SELECT *, 'ALTER TABLE t' || table_id AS a, ' UPDATE t' || table_id AS u FROM ({CHANGES}))
 SELECT table_id, change, CASE change WHEN 'renamed' THEN a || ' RENAME COLUMN ' || old_name || ' TO ' || new_name || ';'
   WHEN 'split' THEN a || ' ADD COLUMNS (first_name STRING, last_name STRING);' || u || ' SET first_name = SPLIT_PART(full_name, '' '', 1), last_name = SPLIT_PART(full_name, '' '', 2); ' || a || ' DROP COLUMN full_name;'
+  WHEN 'merged' THEN a || ' ADD COLUMNS (phone STRING);' || u || ' SET phone = CONCAT_WS('' '', home_phone, work_phone); ' || a || ' DROP COLUMNS (home_phone, work_phone);'
   WHEN 'added' THEN a || ' ADD COLUMN ' || new_name || ' ' || new_type || ';' WHEN 'removed' THEN a || ' DROP COLUMN ' || old_name || ';'
   ELSE a || ' ALTER COLUMN ' || new_name || ' TYPE ' || new_type || ';' END AS statement,
  CASE change WHEN 'renamed' THEN a || ' RENAME COLUMN ' || new_name || ' TO ' || old_name || ';'
-  WHEN 'split' THEN a || ' ADD COLUMNS (full_name STRING);' || u || ' SET full_name = CONCAT_WS('' '', first_name, last_name);'
+  WHEN 'split' THEN a || ' ADD COLUMNS (full_name STRING);' || u || ' SET full_name = CONCAT_WS('' '', first_name, last_name); ' || a || ' DROP COLUMNS (first_name, last_name);'
+  WHEN 'merged' THEN a || ' ADD COLUMNS (home_phone STRING, work_phone STRING);' || u || ' SET home_phone = SPLIT_PART(phone, '' '', 1), work_phone = SPLIT_PART(phone, '' '', 2); ' || a || ' DROP COLUMN phone;'
   WHEN 'added' THEN a || ' DROP COLUMN ' || new_name || ';' WHEN 'removed' THEN a || ' ADD COLUMN ' || old_name || ' ' || old_type || ';'
   ELSE a || ' ALTER COLUMN ' || new_name || ' TYPE ' || old_type || ';' END AS reverse FROM c
 """)

@@ -188,13 +188,13 @@ def query_log(t) -> DataFrame:
 
 OLD_COLUMNS = """
 SELECT p_partkey AS table_id, name, type FROM part, (VALUES
- ('id','bigint'),('full_name','string'),('email','string'),('cust_id','bigint'),('signup_dt','date'),('zip','string'),('amount','int')) v(name, type)
+ ('id','bigint'),('full_name','string'),('email','string'),('cust_id','bigint'),('signup_dt','date'),('zip','string'),('amount','int'),('home_phone','string'),('work_phone','string')) v(name, type)
 UNION ALL SELECT p_partkey, p_type || '_' || p_size, 'string' FROM part
 """
 NEW_COLUMNS = """
 SELECT p_partkey AS table_id, name, type FROM part, (VALUES
  ('id','bigint',0),('first_name','string',0),('last_name','string',0),('email_primary','string',0),('email_secondary','string',0),
- ('customer_id','bigint',0),('signup_date','date',0),('amount','bigint',1),('amount','int',2)) v(name, type, rule)
+ ('customer_id','bigint',0),('signup_date','date',0),('phone','string',0),('amount','bigint',1),('amount','int',2)) v(name, type, rule)
 WHERE rule = 0 OR (rule = 1 AND p_partkey % 2 = 0) OR (rule = 2 AND p_partkey % 2 = 1)
 UNION ALL SELECT p_partkey, p_type || '_' || p_size, 'string' FROM part WHERE p_partkey % 3 > 0
 """
@@ -211,13 +211,13 @@ def _columns(t, listed: list[tuple], last) -> DataFrame:
 
 
 def old_columns(t) -> DataFrame:
-    names = [("id", "bigint"), ("full_name", "string"), ("email", "string"), ("cust_id", "bigint"), ("signup_dt", "date"), ("zip", "string"), ("amount", "int")]
+    names = [("id", "bigint"), ("full_name", "string"), ("email", "string"), ("cust_id", "bigint"), ("signup_dt", "date"), ("zip", "string"), ("amount", "int"), ("home_phone", "string"), ("work_phone", "string")]
     return _columns(t, [(n, ty, 0) for n, ty in names], 0)
 
 
 def new_columns(t) -> DataFrame:
     names = [("id", "bigint", 0), ("first_name", "string", 0), ("last_name", "string", 0), ("email_primary", "string", 0),
-             ("email_secondary", "string", 0), ("customer_id", "bigint", 0), ("signup_date", "date", 0), ("amount", "bigint", 1), ("amount", "int", 2)]
+             ("email_secondary", "string", 0), ("customer_id", "bigint", 0), ("signup_date", "date", 0), ("phone", "string", 0), ("amount", "bigint", 1), ("amount", "int", 2)]
     return _columns(t, names, 3)
 
 

@@ -11,6 +11,15 @@ Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: The given tables, and SQL for their rows and columns.
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+ROWS = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}" for name in TABLES)
+#: The engine's own names for the types of the given tables.
+TYPE = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END"
+COLUMNS = f"SELECT table_name, column_index, column_name, {TYPE} AS type FROM duckdb_columns() WHERE table_name IN ({', '.join(repr(name) for name in TABLES)})"
+
 
 class Tables:
     """Lazy access to the Parquet tables of one folder: ``t.orders``, ``t.events`` and so on."""

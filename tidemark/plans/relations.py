@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import analytics
 from tidemark.operators import relations as r
-from tidemark.plans.registry import query
+from tidemark.plans.registry import COLUMNS, ROWS, TABLES, query
 
 PROFILED = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
@@ -43,9 +43,13 @@ def column_profile(t):
     return profiles(t)
 
 
-@query("column_profile_approx")
+@query("column_profile_approx", f"""SELECT "table", "column", rows, nulls, true AS within_10_percent FROM ({PROFILE})""")
 def column_profile_approx(t):
-    return r.column_profile_approx("lineitem", t.lineitem, PROFILED["lineitem"])
+    """The exact figures of the approximate profile, and whether its estimates hold against the exact profile."""
+    near = analytics.union_tables([r.column_profile_approx(name, getattr(t, name), columns) for name, columns in PROFILED.items()])
+    exact = profiles(t).select("table", "column", F.col("distinct_values").alias("exact"))
+    within = F.abs(F.col("distinct_values") - F.col("exact")) <= 0.1 * F.col("exact")
+    return near.join(exact, ["table", "column"]).select("table", "column", "rows", "nulls", within.alias("within_10_percent"))
 
 
 @query("column_roles", f"""
@@ -217,6 +221,13 @@ def rank_insights(t):
     return r.rank_insights(insights, "confidence", "ratio", "n_name")
 
 
-@query("warehouse_context")
+_CONTEXT = f"""
+SELECT table_name AS "table", rows, '{{"table":"' || table_name || '","rows":' || rows || ',"columns":[' || columns || '],"keys":[' || coalesce(keys, '""') || ']}}' AS context FROM ({ROWS}) JOIN (
+ SELECT table_name, string_agg('{{"name":"' || column_name || '","type":"' || type || '"}}', ',' ORDER BY column_index) AS columns,
+  string_agg('"' || column_name || '"', ',' ORDER BY column_index) FILTER (regexp_matches(lower(column_name), '(key|id)$')) AS keys FROM ({COLUMNS}) GROUP BY table_name) USING (table_name)
+"""
+
+
+@query("warehouse_context", f"SELECT *, length(context) // 4 AS tokens FROM ({_CONTEXT})")
 def warehouse_context(t):
-    return r.warehouse_context({n: getattr(t, n) for n in ("orders", "customer", "lineitem", "part", "supplier", "events", "documents")})
+    return r.warehouse_context({name: getattr(t, name) for name in TABLES})

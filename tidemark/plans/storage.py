@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import generators as g
 from tidemark.plans.generated import CUSTOMERS, customer_ids, order_ids
-from tidemark.plans.registry import query
+from tidemark.plans.registry import COLUMNS, ROWS, TABLES, query
 from tidemark.plans.usage import CLASSIFIED, classified
 from tidemark.session import new_path
 from tidemark.sources import catalog as c
@@ -21,10 +22,12 @@ def fresh(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex[:8]}"
 
 
-@query("dataset_exists", "SELECT 'orders' AS dataset, true AS present UNION ALL SELECT 'nowhere', false")
+@query("dataset_exists", f"SELECT table_name AS dataset, true AS present, rows FROM ({ROWS}) UNION ALL SELECT 'nowhere', false, 0")
 def dataset_exists(t):
-    found = [(n, f.dataset_exists(t.spark, p)) for n, p in (("orders", t.path("orders")), ("nowhere", t.path("nowhere")))]
-    return t.spark.createDataFrame(found, "dataset string, present boolean")
+    found = {name: f.dataset_exists(t.spark, t.path(name)) for name in [*TABLES, "nowhere"]}
+    held = c.row_counts({name: getattr(t, name) for name, present in found.items() if present})
+    listed = t.spark.createDataFrame(list(found.items()), "dataset string, present boolean")
+    return listed.join(held.withColumnRenamed("table_name", "dataset"), "dataset", "left").select("dataset", "present", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 @query("idempotent_write", "SELECT o_orderkey, 1 AS version FROM orders")
@@ -140,21 +143,25 @@ def resort_table(t):
     )
 
 
-@query("table_inventory")
+@query("table_inventory", f"SELECT table_name, rows, true AS has_files, true AS has_bytes FROM ({ROWS})")
 def table_inventory(t):
-    return c.inventory(t.spark, {n: t.path(n) for n in ("orders", "lineitem", "customer", "events")})
+    """Rows per table; numbers of files and bytes are the storage's own, so only their presence is compared."""
+    found = c.inventory(t.spark, {name: t.path(name) for name in TABLES})
+    return found.select("table_name", "rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
-@query("physical_schema", """
-SELECT table_name AS "table", (column_index)::INTEGER AS position, column_name AS name,
- CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS type
-FROM (SELECT table_name, column_name, data_type, column_index - 1 AS column_index FROM duckdb_columns() WHERE table_name IN ('orders', 'lineitem', 'customer'))
-""")
+@query("physical_schema", f"""SELECT table_name AS "table", (column_index - 1)::INTEGER AS position, column_name AS name, type FROM ({COLUMNS})""")
 def physical_schema(t):
-    return c.physical_schema(t.spark, {n: getattr(t, n).schema for n in ("orders", "lineitem", "customer")})
+    return c.physical_schema(t.spark, {name: getattr(t, name).schema for name in TABLES})
+
+
+_DECLARED = ", ".join(
+    f"('{name}', '{kind.lower().replace(' ', '')}')" for name, kind in re.findall(r"(\w+)\s+(\w+(?:\([\d, ]+\))?)", tb.STAR_SCHEMA["orders"])
+)
 
 
-@query("schema_conformance")
+@query("schema_conformance", f"""SELECT 'orders' AS "table", name, type AS found_type, type AS declared_type, 'ok' AS status FROM (VALUES {_DECLARED}) d(name, type)
+UNION ALL SELECT 'orders', 'order_date', 'date', NULL, 'unexpected'""")
 def schema_conformance(t):
     path = new_path(t.spark, "generated")
     g.orders(order_ids(t), g.customers(customer_ids(t))).write.parquet(path)
