@@ -46,23 +46,20 @@ def contacts(t):
     )
 
 
+#: Every text column of the given tables.
+TEXT_COLUMNS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
+    "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
+}
+
+
 def scanned(t):
-    return {
-        "contacts": (contacts(t), CONTACT_COLUMNS),
-        "customer": (t.customer, ["c_name", "c_mktsegment"]),
-        "documents": (t.documents, ["text", "source"]),
-        "pages": (t.pages, ["url", "html"]),
-        "conversations": (t.conversations, ["text"]),
-        "events": (t.events, ["props"]),
-    }
+    return {"contacts": (contacts(t), CONTACT_COLUMNS), **{name: (getattr(t, name), columns) for name, columns in TEXT_COLUMNS.items()}}
 
 
 def _tables_sql() -> dict:
-    return {
-        "contacts": (f"({CONTACTS})", CONTACT_COLUMNS), "customer": ("customer", ["c_name", "c_mktsegment"]),
-        "documents": ("documents", ["text", "source"]), "pages": ("pages", ["url", "html"]),
-        "conversations": ("conversations", ["text"]), "events": ("events", ["props"]),
-    }
+    return {"contacts": (f"({CONTACTS})", CONTACT_COLUMNS), **{name: (name, columns) for name, columns in TEXT_COLUMNS.items()}}
 
 
 def _scan_sql() -> str:
@@ -219,10 +216,10 @@ def merge_catalogs(t):
 
 @query("column_sample", f"""
 SELECT "column", c_custkey, value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5("column" || '|' || c_custkey), c_custkey) AS rn FROM (
- SELECT c_custkey, 'email' AS "column", email AS value FROM ({CONTACTS}) UNION ALL SELECT c_custkey, 'contact', contact FROM ({CONTACTS}) UNION ALL SELECT c_custkey, 'origin', origin FROM ({CONTACTS})) WHERE value IS NOT NULL) WHERE rn <= 100
+ {" UNION ALL ".join(f"SELECT c_custkey, '{c}' AS " + '"column"' + f", {c} AS value FROM ({CONTACTS})" for c in CONTACT_COLUMNS)}) WHERE value IS NOT NULL) WHERE rn <= 100
 """)
 def sample_columns(t):
-    long_rows = contacts(t).unpivot(["c_custkey"], ["email", "contact", "origin"], "column", "value")
+    long_rows = contacts(t).unpivot(["c_custkey"], CONTACT_COLUMNS, "column", "value")
     return column_sample(long_rows, "column", "value", "c_custkey").select("column", "c_custkey", "value")
 
 

@@ -105,17 +105,13 @@ def temporal_relation(t):
     return r.temporal_relation(signups, purchases, "user_id", "signup", "purchase")
 
 
-_PATH_KEYS = [k for k in KEYS if not k.startswith(("documents", "labels"))]
-_PATH_SQL = FOREIGN_KEYS.replace(f"({_DISTINCT})", "(SELECT * FROM (" + _DISTINCT + ") WHERE NOT c LIKE 'documents%' AND NOT c LIKE 'labels%')")
-
-
 @query("join_paths", f"""
-WITH RECURSIVE k AS ({_PATH_SQL}), e AS (SELECT DISTINCT split_part(child, '.', 1) AS src, split_part(parent, '.', 1) AS dst FROM k UNION SELECT DISTINCT split_part(parent, '.', 1), split_part(child, '.', 1) FROM k),
+WITH RECURSIVE k AS ({FOREIGN_KEYS}), e AS (SELECT DISTINCT split_part(child, '.', 1) AS src, split_part(parent, '.', 1) AS dst FROM k UNION SELECT DISTINCT split_part(parent, '.', 1), split_part(child, '.', 1) FROM k),
 w(node, depth, path) AS (SELECT 'supplier', 0, 'supplier' UNION ALL SELECT dst, depth + 1, path || '>' || dst FROM w JOIN e ON src = node WHERE depth < 6 AND NOT list_contains(string_split(path, '>'), dst))
 SELECT node, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS rn FROM w) WHERE rn = 1
 """)
 def join_paths(t):
-    return r.join_paths(keys(t, _PATH_KEYS), "supplier")
+    return r.join_paths(keys(t), "supplier")
 
 
 EDGES = """
@@ -148,12 +144,12 @@ def lineage_reach(t):
 
 
 @query("connected_groups", f"""
-WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES}) WHERE NOT dst LIKE 'part%'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES})), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 w(node, grp) AS (SELECT src, src FROM b WHERE src LIKE 'region%' UNION SELECT dst, grp FROM w JOIN b ON src = node)
 SELECT node, min(least_node) AS grp FROM (SELECT node, min(node) OVER (PARTITION BY grp) AS least_node FROM w) GROUP BY node
 """)
 def connected_groups(t):
-    return r.connected_groups(edges(t).filter("NOT dst LIKE 'part%'"))
+    return r.connected_groups(edges(t))
 
 
 @query("group_rate_test", """
