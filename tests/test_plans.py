@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from tidemark.plans import QUERIES as OWN
 from tidemark.sources.files import column_sample
 from tidemark.sources.tables import colocated_join, write_bucketed
 from tidemark.session import new_path
@@ -25,7 +26,7 @@ def plan(df):
 
 # Queries that only describe a plan; those that write or stream are left to test_queries.
 LAZY = [
-    n for n in QUERIES
+    n for n in OWN
     if not n.startswith("stream_") and n not in {
         "resume_from_manifest", "search_progress", "event_ingest", "micro_batch_source", "idempotent_write", "partitioned_write", "gen_warehouse",
         "create_star_schema", "copy_into", "external_table", "discover_partitions", "insert_select", "collect_stats", "resort_table",
