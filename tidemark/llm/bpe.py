@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import in_batches
+
 #: Characters of text worked at once, pieces kept in the cache, and cells of one matrix.
 CHUNK_CHARS = 1_000_000
 CACHED_PIECES = 300_000
@@ -190,7 +192,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
             columns = [*batch.columns[: len(keep)], pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(work, schema)
+    return in_batches(kept, work, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -204,4 +206,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(work, schema)
+    return in_batches(encoded, work, schema)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A written table of more rows is never broadcast; joins on it then shuffle.
 MOST_BROADCAST_ROWS = 100_000
+#: Rows of text handed to a Python worker at once; long texts make larger batches too much for its memory.
+BATCH_ROWS = 2_000
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,3 +20,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def small(written: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast a written table if it has at most ``most`` rows, else the table as it is."""
     return F.broadcast(written) if written.count() <= most else written
+
+
+def in_batches(rows: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` on batches of at most ``BATCH_ROWS`` rows, a setting of the session from then on."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return rows.mapInArrow(work, schema)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import in_batches
+
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 TEMPER = 0.5
@@ -90,7 +92,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(counts[seen])], names=["lang", "gram", "n"])
 
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counted = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = in_batches(labelled, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     place = {lang: k for k, lang in enumerate(langs)}
@@ -183,4 +185,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
             arrays = [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return chosen.mapInArrow(work, schema)
+    return in_batches(chosen, work, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import in_batches, small
 from tidemark.llm.words import Words, chunks, mixed, run_hashes, words_of
 from tidemark.session import cut_lineage
 
@@ -98,7 +98,7 @@ def _survey(texts: DataFrame, window: int, run: int) -> DataFrame:
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(work, f"key binary, doc_id {kind}, n_words long, kept_sha256 string, minimisers array<long>")
+    return in_batches(texts, work, f"key binary, doc_id {kind}, n_words long, kept_sha256 string, minimisers array<long>")
 
 
 def _send(chosen: DataFrame, window: int, run: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _send(chosen: DataFrame, window: int, run: int) -> DataFrame:
                     names=["minimiser", "node", "copies", "start", "packed"],
                 )
 
-    return chosen.mapInArrow(work, "minimiser long, node long, copies long, start long, packed binary")
+    return in_batches(chosen, work, "minimiser long, node long, copies long, start long, packed binary")
 
 
 def _count_buckets(window: int):
@@ -204,13 +204,15 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, run: int = RUN, he
     lists = held.join(seen, "minimiser").groupBy("node").agg(
         F.collect_list(F.when(~is_heavy, F.col("minimiser"))).alias("light"), F.collect_list(F.when(is_heavy, F.col("minimiser"))).alias("heavy")
     )
-    wanted = cut_lineage(lists.join(nodes.select("node", "key", F.col("doc_id").alias("one"), "copies"), "node"))
-    found = keyed.join(small(wanted), "key").filter(F.col("doc_id").eqNullSafe(F.col("one")))
-    chosen = cut_lineage(found.select("node", "copies", "text", "light", "heavy"))
+    lists = cut_lineage(lists)
+    # of fixed width per row, so its size is known from the number of rows
+    wanted = cut_lineage(lists.select("node").join(nodes.select("node", "key", F.col("doc_id").alias("one"), "copies"), "node"))
+    found = keyed.join(small(wanted), "key").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("node", "copies", "text")
+    chosen = cut_lineage(found.join(lists, "node").select("node", "copies", "text", "light", "heavy"))
     nothing = F.array().cast("array<long>")
     light = chosen.filter(F.size("light") > 0).withColumn("heavy", nothing)
     whole = _send(light, window, run).select("minimiser", "node", "copies", "start", "packed")
-    counted = whole.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count_buckets(window), "node long, first long, last long")
+    counted = in_batches(whole.repartition("minimiser").sortWithinPartitions("minimiser"), _count_buckets(window), "node long, first long, last long")
     single = cut_lineage(_send(chosen.filter(F.size("heavy") > 0).withColumn("light", nothing), window, run).select("node", "copies", "start", "packed"))
     often = single.groupBy("packed").agg(F.sum("copies").alias("n")).filter("n > 1").select("packed")
     alone = single.join(often, "packed", "left_semi").select("node", F.col("start").alias("first"), (F.col("start") + window).alias("last"))
@@ -239,7 +241,7 @@ def _remove(rows: DataFrame) -> DataFrame:
                 names=["node", "n_removed", "kept_sha256", "kept"],
             )
 
-    return rows.mapInArrow(work, "node long, n_removed long, kept_sha256 string, kept string")
+    return in_batches(rows, work, "node long, n_removed long, kept_sha256 string, kept string")
 
 
 def without_passages(docs: DataFrame, window: int = WINDOW, run: int = RUN, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
