@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import in_batches
 
 #: Characters of text worked at once, pieces kept in the cache, and cells of one matrix.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 CACHED_PIECES = 300_000
 MATRIX_CELLS = 4_000_000
 NONE = np.int32(2**31 - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A written table of more rows is never broadcast; joins on it then shuffle.
 MOST_BROADCAST_ROWS = 100_000
 #: Rows of text handed to a Python worker at once; long texts make larger batches too much for its memory.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -37,7 +37,7 @@ PENALTY = 1.0
 STEPS = 12
 UNKNOWN = "und"
 #: Characters worked at once.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 
 
 @lru_cache(maxsize=1)

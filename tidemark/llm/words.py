@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 300_000
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
