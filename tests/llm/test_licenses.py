@@ -1,5 +1,7 @@
 """Licence lookup: equivalent spellings, copyright lines, odd rows."""
 
+import textwrap
+
 from pyspark.sql import types as T
 
 from tidemark.llm import licenses as s
@@ -27,3 +29,24 @@ def test_empty_table_and_known_texts(spark):
     assert s.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     digests = [r.digest for r in s.known(spark).collect()]
     assert len(digests) == len(set(digests)) > 20
+
+
+def test_known_texts_in_any_wrapping(spark):
+    heads = ["", "Copyright (c) 2020 X.\n\n", "Copyright 2019-2021 The Example Authors and Others. All rights reserved.\n\n", "Copyright (c) 2020, A. Müller and Example Inc.\n"]
+    rows, want = [], {}
+    for name, text in s.KNOWN:
+        if len(text) > 200:
+            for head in heads:
+                whole = " ".join((head + text).split())
+                for form in (head + text, whole, *(head + textwrap.fill(" ".join(text.split()), w, break_long_words=False) for w in (30, 48, 60, 72, 80, 100)), *(textwrap.fill(whole, w, break_long_words=False) for w in (40, 60, 72, 80, 100))):
+                    want[len(rows)] = name
+                    rows.append((len(rows), form, None, None))
+    got = s.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [rows[r.doc_id][1][:200] for r in got if r.license != want[r.doc_id]] == [] and len(got) == len(rows)
+
+
+def test_only_statements_are_removed(spark):
+    texts = ["copyright holders are liable", "copyright notice, this list", "Copyright law is old.", "(c) You must retain all notices", "All rights reserved by nobody", "Copyright (c) 2020 Foo Bar. Some words stay here", "All rights reserved.", "Copyright 2021", "x\n© Foo\ny", "All rights reserved. More words"]
+    left = ["copyright holders are liable", "copyright notice this list", "copyright law is old", "c you must retain all notices", "all rights reserved by nobody", "some words stay here", "", "", "x y", "more words"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r[0] for r in frame.orderBy("k").select(s.canonical(frame.t)).collect()] == left

@@ -1,12 +1,19 @@
 """Licence texts and notices, found by the digest of their canonical form.
 
-A text is made canonical by lower case, removal of copyright lines, one space for every run of characters other
+A text is made canonical by lower case, removal of copyright statements, one space for every run of characters other
 than letters and digits, and one spelling for words that licences write in several ways. The digest of the
 canonical form meets the digests of known texts in a hash join. Two kinds of whole texts are looked up:
 each document, and each line of a document, for notices stand on lines of their own. The table of known
 texts is a constant of this module, so its broadcast does not grow with the data; a document has one row however
 many lines match.
 
+A copyright statement is the word copyright with a sign, (c) or a year, or a sign or (c) with a year, up to the end of its holder: the
+words all rights reserved, the start of a known text, the end of a sentence or of the line. The start of a known text may stand on the next
+line, as statements wrap too. All rights reserved goes also where it stands alone.
+
+``sql`` states the rule that held before, by which whole lines went, and is left as it was: both agree where the only such lines hold
+all rights reserved and nothing else.
+
 Defined cases: a null text counts as empty; a text whose canonical form is empty matches nothing; repeated rows are
 separate rows and ids may be null; an empty table gives no rows; other columns are not looked at. Letters are those
 of ASCII: all others count as punctuation, as in the known texts.
@@ -14,10 +21,13 @@ of ASCII: all others count as punctuation, as in the known texts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Only for ``sql``, see above.
 COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(copyright|©|\(c\)|all rights reserved)[^\n]*$"
 #: Spellings that count as equal in licence texts, replaced in this order.
 SPELLINGS = (
@@ -80,9 +90,25 @@ KNOWN = (
 )
 
 
+def _starts() -> str:
+    """The first three words of every known text as an expression for lower-case text."""
+    spell = {"license": "licen[cs]e", "licensed": "licen[cs]ed"}
+    first = {tuple(re.findall("[a-z0-9]+", text.lower())[:3]) for _, text in KNOWN}
+    return "|".join(r"[^a-z0-9]+".join(spell.get(word, word) for word in words) + r"\b" for words in sorted(first))
+
+
+_YEAR, _SIGN, _RESERVED = r"(?:19|20)\d\d\b", r"(?:\(c\)|©|&copy;)", r"all\s+rights\s+reserved\b\.?"
+_OPENING = rf"(?:\bcopyright\b[ \t:]*(?:{_SIGN}|{_YEAR})|{_SIGN}\s*(?:copyright\b|{_YEAR})|^[^a-z0-9\n]*©)"
+_SENTENCE = r"(?<=[^\W\d_]{2})(?<!\binc)(?<!\bltd)(?<!\bco)(?<!\bcorp)(?<!\bst)(?<!\bdr)(?<!\bjr)(?<!\bsr)\.(?=\s)"
+_HOLDER = rf"(?:[^\n]{{0,200}}?(?:{_RESERVED}|(?=(?:{_starts()}))|{_SENTENCE})|[^\n]{{0,120}}\n(?!\s*\n)(?:(?!{_SENTENCE})[^\n]){{0,120}}?\.?\s*(?:{_RESERVED}|(?=(?:{_starts()})))|[^\n]{{0,200}}$)"
+#: Statements, and lines after a statement that begin with (c) alone.
+STATEMENT = rf"(?mdU){_OPENING}{_HOLDER}?(?:\s*\n[ \t]*\(c\)[^\n]{{0,200}}$)*"
+RESERVED = r"(?md)(?:^|(?<=\.)\s)[^a-z0-9\n]*all\s+rights\s+reserved(?:\.|(?=[^a-z0-9\n]*$))"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text, ``''`` if nothing is left."""
-    text = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "")
+    text = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), STATEMENT, " "), RESERVED, " ")
     text = F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
     for spelling, common in SPELLINGS:
         text = F.replace(text, F.lit(spelling), F.lit(common))
