@@ -25,7 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     marked = language_id.predict(whole, model, keep=("doc",))
     if model[0]:
-        kept = marked.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+        explained = F.col("score") / F.array_max(F.map_values("languages"))  # the score is the largest proportion times this share
+        kept = marked.filter((F.col("lang_pred") != language_id.UNKNOWN) & (explained >= LEAST_SCORE))
     else:
         kept = marked.filter(F.coalesce(F.col("doc.text"), F.lit("")).rlike(r"\p{L}"))
     return kept.select(*[F.col("lang_pred" if c == "lang" and model[0] else f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -116,3 +116,14 @@ def test_empty_table_and_no_labels(spark):
     assert step.count() == 0
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
     assert pipeline.language(spark, unlabelled, FOLDER).count() == docs.filter(r"text RLIKE '\\p{L}'").count()
+
+
+def test_document_in_all_languages_stays(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    parts = [" ".join(words(r.text)[:60]) for r in docs.filter("lang IS NOT NULL AND n_chars > 800").groupBy("lang").agg({"text": "min"}).withColumnRenamed("min(text)", "text").collect()]
+    assert len(parts) == 4
+    rows = docs.unionByName(spark.createDataFrame([(9300, " ".join([*parts, *["漢字かな"] * 200]), None, "src1", 10)], docs.schema))
+    model = pipeline.language_id.learn(rows)
+    row = pipeline.language_id.predict(rows.filter("doc_id = 9300"), model).first()
+    assert row.score < pipeline.LEAST_SCORE < row.score / max(row.languages.values())
+    assert pipeline.language(spark, rows, FOLDER).filter("doc_id = 9300").count() == 1
