@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, substring_dedup, vector_search
+from tidemark.llm import bpe, exact_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, substring_dedup, token_alignment, vector_search
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op8(spark, folder):
 @query("op6_license_scan", licenses.sql())
 def op6(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark, folder):
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_documents(table(spark, folder, "documents"), token_alignment.Sources.read(*files))
