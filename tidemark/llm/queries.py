@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, substring_dedup, token_alignment, vector_search
+from tidemark.llm import bpe, class_model, collocations, exact_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, substring_dedup, token_alignment, vector_search
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,17 @@ def op6(spark, folder):
 def op11(spark, folder):
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
     return token_alignment.align_documents(table(spark, folder, "documents"), token_alignment.Sources.read(*files))
+
+
+@query("op12_trie_collocations", collocations.SQL)
+def op12(spark, folder):
+    return collocations.best(table(spark, folder, "documents"))
+
+
+@query("op13_class_model")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = class_model.train(docs.filter(~held_out))
+    found = class_model.scores(docs, model, (F.col("doc_id"), held_out.alias("held_out")))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
