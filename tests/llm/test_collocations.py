@@ -100,7 +100,8 @@ def test_tries_accept_their_phrases_only():
     draw = random.Random(4)
     words = [f"w{k}" for k in range(3000)]
     phrases = sorted({" ".join(draw.choice(words if draw.random() < 0.5 else words[:3]) for _ in range(draw.randint(1, 3))) for _ in range(20_000)} | {f"w0 {w}" for w in words})
-    trie = c.trie_of([p.encode() for p in phrases])
+    symbols = {w.encode(): k for k, w in enumerate(words)}
+    trie = c.trie_of(np.array([[symbols[w.encode()] for w in p.split()] + [-1] * (3 - len(p.split())) for p in phrases]), symbols)
     number = {p: k for k, p in enumerate(phrases)}
     text = [draw.choice([*words, "other"]) if draw.random() < 0.5 else draw.choice(words[:3]) for _ in range(5000)]
     different = sorted(set(text))

@@ -4,12 +4,15 @@
    64-bit hashes of (language, run of k words), but only of runs both of whose shorter parts passed; hashes that
    reach ``least`` over all tasks pass. Two phrases with one hash add up, so a sum is never below a phrase's own count: no frequent phrase
    is lost, and what passes by chance is counted exactly later. Later levels test earlier ones in a bitmap of a bounded size
-   (``MOST_BITS``), where a false hit only lets a run through. Then the texts of the runs that passed are collected, once each.
+   (``MOST_BITS``), where a false hit only lets a run through. Then the words of the runs that passed are collected, once each.
 2. *Tries.* Candidates are dealt into shards of at most about ``SHARD_PHRASES`` phrases and ``SHARD_BYTES`` bytes. A shard's trie is two arrays: from state s
    digit d leads to ``base[s] + d`` if ``check`` there is s. A word's symbol is two digits, so no state has more than
    ``DIGIT`` children but the root. Trie and dictionary of a shard are broadcast; their size is bounded by the two parameters.
 3. *Counts.* In each chunk of text all positions advance together, word by word; the accepting states that they pass are
-   counted by ``bincount``, summed within the task and over tasks and shards. Words are compared byte by byte.
+   counted by ``bincount``, summed within the task and over tasks and shards. Words of the text meet the dictionary byte by byte; the
+   dictionary tells frequent words apart by 64 bits (two of ten million share them with a chance of 3 in a million).
+
+Texts are cut into words once; the passes read the written numbers and hashes of words.
 
 Scores are exact decimals. A phrase's cuts are equi-joined with the counts of their parts.
 
@@ -34,6 +37,7 @@ from tidemark.llm.words import mixed
 from tidemark.session import cut_lineage
 
 LONGEST = 3
+CHUNK_BYTES = 2_000_000
 SHARD_PHRASES = 1_000_000
 SHARD_BYTES = 32_000_000
 MOST_BITS = 30
@@ -46,40 +50,65 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcde
 RUN = np.uint64(0xD6E8FEB86659FD93)
 
 
-def chunks_of(batches) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Per language and chunk of texts: the language, its different words, and the number of each word in turn, -1 between pieces."""
+class Chunk(NamedTuple):
+    """Texts of one language, word by word."""
+
+    lang: str
+    words: list[bytes]  # the different ones
+    keys: np.ndarray  # their hashes
+    ids: np.ndarray  # the number of each word in turn, -1 between pieces
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Chunks of texts of one language as ``lang, n, keys, ids, words``, written: texts are cut into words once, later passes read numbers."""
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def work(batches):
+        for batch in batches:
+            of: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of.setdefault(lang, []).append(text)
+            for lang, texts in of.items():
+                for part in gathered(texts, CHUNK_BYTES):
+                    plain = MARK.join(part).translate(PLAIN).replace(MARK, b" . ")
+                    words, ids = numbered([*plain.split(), MARK])
+                    end = words.index(MARK)
+                    ids = np.where(ids == end, -1, ids - (ids > end)).astype("<i4")
+                    words = words[:end] + words[end + 1 :]
+                    row = [[lang], [int((ids >= 0).sum())], [hashes(words).tobytes()], [ids.tobytes()], [b" ".join(words)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["lang", "n", "keys", "ids", "words"])
+
+    return cut_lineage(texts.mapInArrow(work, "lang string, n long, keys binary, ids binary, words binary"))
+
+
+def read_chunks(batches) -> Iterator[Chunk]:
+    """The rows of a selection from ``encoded``; what was not selected is empty."""
     for batch in batches:
-        of: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            of.setdefault(lang, []).append(text)
-        for lang, texts in of.items():
-            for part in gathered(texts):
-                plain = MARK.join(part).translate(PLAIN).replace(MARK, b" . ")
-                words, ids = numbered([*plain.split(), MARK])
-                end = words.index(MARK)
-                ids = np.where(ids == end, -1, ids - (ids > end))
-                yield lang, words[:end] + words[end + 1 :], ids
-
-
-def run_keys(lang: str, words: list[bytes], ids: np.ndarray, passed: list[Bitmap], longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to ``longest`` the start of every run whose shorter parts passed, and its hash."""
-    salt = hashes([lang.encode()])[0]
-    word = mixed(hashes(words) ^ salt)
+        names = batch.schema.names
+        for k in range(batch.num_rows):
+            value = {name: batch.column(name)[k].as_py() for name in names}
+            words = value.get("words", b"")
+            yield Chunk(value["lang"], words.split(b" ") if words else [], np.frombuffer(value.get("keys", b""), np.uint64), np.frombuffer(value["ids"], "<i4").astype(np.int64))
+
+
+def run_keys(chunk: Chunk, passed: list[Bitmap], longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``longest`` the start of every run whose shorter parts passed, and its hash with the language."""
+    word = mixed(chunk.keys ^ hashes([chunk.lang.encode()]))
+    ids, out = chunk.ids, []
     at = np.flatnonzero(ids >= 0)
-    keys, out = word[ids[at]], []
+    keys = word[ids[at]]
     here = np.zeros(len(ids) + 1, bool)
     for length in range(1, longest + 1):
         if length > 1:
             on = here[at] & here[at + 1]  # both the run without its last word and that without its first
             at, keys = at[on], keys[on]
             keys = mixed(keys * RUN + word[ids[at + length - 1]])
-        out.append((at, keys))
         if length <= len(passed):
             hit = passed[length - 1].has(keys)
             at, keys = at[hit], keys[hit]
             here[:] = False
             here[at] = True
-            out[-1] = (at, keys)
+        out.append((at, keys))
     return out
 
 
@@ -105,52 +134,62 @@ class Bitmap(NamedTuple):
         return Bitmap(bits, data)
 
 
-def _rows(lang, keys, sums, schema=("lang", "key", "n")):
-    langs = pa.array([lang] * len(keys), pa.string()) if lang is not None else pa.nulls(len(keys), pa.string())
-    return pa.RecordBatch.from_arrays([langs, pa.array(keys.view(np.int64)), pa.array(sums.astype(np.int64))], names=list(schema))
+def passing(chunks: DataFrame, length: int, earlier: list[Bitmap], least: int) -> DataFrame:
+    """``key``, written: hashes of runs of one length that have ``least`` occurrences or more."""
 
+    def work(batches):
+        sums = Sums()
 
-def passing(texts: DataFrame, length: int, earlier: list[Bitmap], least: int) -> DataFrame:
-    """``lang, key, n``, written: hashes of runs with ``least`` occurrences or more; for single words also each language's number of words (key 0)."""
+        def taken():
+            keys, n = sums.taken()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    def work(batches):
-        sums, totals = Sums(), {}
-        for lang, words, ids in chunks_of(batches):
-            totals[lang] = totals.get(lang, 0) + int((ids >= 0).sum())
-            sums.add(run_keys(lang, words, ids, earlier, length)[-1][1])
+        for chunk in read_chunks(batches):
+            sums.add(run_keys(chunk, earlier, length)[-1][1])
             if sums.full:
-                yield _rows(None, *sums.taken())
-        yield _rows(None, *sums.taken())
-        if length == 1:
-            for lang, n in totals.items():
-                yield _rows(lang, np.zeros(1, np.uint64), np.array([n]))
+                yield taken()
+        yield taken()
 
-    sums = texts.mapInArrow(work, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return cut_lineage(sums.filter((F.col("n") >= least) | F.col("lang").isNotNull()))
+    sums = chunks.select("lang", "keys", "ids").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return cut_lineage(sums.filter(F.col("n") >= least).select("key"))
 
 
-def candidates(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``phrase`` of every run of up to three words that may reach ``least`` in its language, written; and ``lang, n`` of every language."""
+def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b, c``: the word hashes of every run of up to three words that may reach ``least`` in some language (null beyond its end); and ``a, word``, the words of these runs. Both written."""
     tables, bitmaps = [], []
     for length in range(1, LONGEST + 1):
-        tables.append(passing(texts, length, bitmaps, least))
-        bitmaps.append(Bitmap.of(tables[-1].filter("lang IS NULL")))
-
-    def work(batches):
-        seen = [np.zeros(0, np.uint64)] * LONGEST
-        for lang, words, ids in chunks_of(batches):
-            for k, (at, keys) in enumerate(run_keys(lang, words, ids, bitmaps, LONGEST)):
-                new, first = np.unique(keys, return_index=True)
-                fresh = ~np.isin(new, seen[k], assume_unique=True)
-                seen[k] = new if len(seen[k]) > 4_000_000 else np.union1d(seen[k], new[fresh])
-                starts = at[first[fresh]]
-                runs = [b" ".join(map(words.__getitem__, run)) for run in ids[starts[:, None] + np.arange(k + 1)].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(new[fresh].view(np.int64)), pa.array(runs, pa.binary()).cast(pa.string())], names=["key", "phrase"])
-
-    runs = texts.mapInArrow(work, "key long, phrase string")
-    keys = tables[0].filter("lang IS NULL").union(tables[1]).union(tables[2]).select("key")
-    found = runs.join(keys, "key", "left_semi").select("phrase").distinct()
-    return cut_lineage(found), tables[0].filter("lang IS NOT NULL").select("lang", "n")
+        tables.append(passing(chunks, length, bitmaps, least))
+        bitmaps.append(Bitmap.of(tables[-1]))
+
+    def new_in(seen, keys):
+        """The keys that a task has not met yet, and the first place of each."""
+        different, first = np.unique(keys, return_index=True)
+        fresh = ~np.isin(different, seen[0], assume_unique=True)
+        seen[0] = different if len(seen[0]) > 4_000_000 else np.union1d(seen[0], different[fresh])
+        return different[fresh], first[fresh]
+
+    def runs(batches):
+        seen = [[np.zeros(0, np.uint64)] for _ in range(LONGEST)]
+        for chunk in read_chunks(batches):
+            for k, (at, keys) in enumerate(run_keys(chunk, bitmaps, LONGEST)):
+                fresh, first = new_in(seen[k], keys)
+                parts = [pa.array(chunk.keys[chunk.ids[at[first] + i]].view(np.int64)) if i <= k else pa.nulls(len(first), pa.int64()) for i in range(LONGEST)]
+                yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), *parts], names=["key", "a", "b", "c"])
+
+    def words(batches):
+        seen = [np.zeros(0, np.uint64)]
+        for chunk in read_chunks(batches):
+            own = mixed(chunk.keys ^ hashes([chunk.lang.encode()]))
+            on = np.flatnonzero(bitmaps[0].has(own))
+            fresh, first = new_in(seen, own[on])
+            some = on[first]
+            texts = pa.array([chunk.words[i] for i in some.tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), pa.array(chunk.keys[some].view(np.int64)), texts], names=["key", "a", "word"])
+
+    met = chunks.select("lang", "keys", "ids").mapInArrow(runs, "key long, a long, b long, c long").dropDuplicates(["key"])
+    found = met.join(tables[0].union(tables[1]).union(tables[2]), "key", "left_semi").select("a", "b", "c").distinct()
+    spelt = chunks.select("lang", F.lit(b"").alias("ids"), "keys", "words").mapInArrow(words, "key long, a long, word string").join(tables[0], "key", "left_semi")
+    return cut_lineage(found), cut_lineage(spelt.select("a", "word").distinct())
 
 
 class Trie(NamedTuple):
@@ -228,17 +267,13 @@ def double_array(parent: np.ndarray, digit: np.ndarray, nodes: int, seed: int =
     return by_state, check, state
 
 
-def trie_of(phrases: list[bytes]) -> Trie:
-    """The trie that accepts ``phrases``, numbered in their order; a word is two digits of base ``DIGIT``."""
-    cut = [phrase.split(b" ") for phrase in phrases]
-    symbols = {word: k for k, word in enumerate(sorted({word for words in cut for word in words}, key=lambda w: (hashes([w])[0], w)))}
-    lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-    flat = np.fromiter((symbols[word] for words in cut for word in words), np.int64, int(lengths.sum()))
-    digits = np.full((len(cut), 2 * LONGEST), -1, np.int64)
-    row, column = np.repeat(np.arange(len(cut)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    digits[row, 2 * column], digits[row, 2 * column + 1] = flat // DIGIT, flat % DIGIT
-    node, nodes, parents, labels, ends = np.zeros(len(cut), np.int64), 1, [], [], np.full(len(cut), 0, np.int64)
-    width = max(DIGIT, len(symbols) // DIGIT + 1)
+def trie_of(runs: np.ndarray, words: dict[bytes, int]) -> Trie:
+    """The trie that accepts the rows of ``runs`` (numbers of words, -1 beyond a run's end), numbered in their order; a word is two digits of base ``DIGIT``."""
+    digits = np.full((len(runs), 2 * LONGEST), -1, np.int32)
+    digits[:, ::2], digits[:, 1::2] = np.where(runs >= 0, runs // DIGIT, -1), np.where(runs >= 0, runs % DIGIT, -1)
+    lengths = (runs >= 0).sum(1)
+    node, nodes, parents, labels, ends = np.zeros(len(runs), np.int64), 1, [], [], np.zeros(len(runs), np.int64)
+    width = max(DIGIT, len(words) // DIGIT + 1)
     for level in range(2 * LONGEST):
         on = np.flatnonzero(digits[:, level] >= 0)
         found, number = np.unique(node[on] * width + digits[on, level], return_inverse=True)
@@ -250,13 +285,13 @@ def trie_of(phrases: list[bytes]) -> Trie:
         ends[done] = node[done]
     base, check, state = double_array(np.concatenate(parents), np.concatenate(labels), nodes)
     accept = np.full(len(base), -1, np.int32)
-    accept[state[ends]] = np.arange(len(cut))
-    return Trie(base, check, accept, symbols, DIGIT)
+    accept[state[ends]] = np.arange(len(runs))
+    return Trie(base, check, accept, words, DIGIT)
 
 
-def counted(texts: DataFrame, trie: Trie, phrases: int) -> DataFrame:
+def counted(chunks: DataFrame, trie: Trie, phrases: int) -> DataFrame:
     """``lang, number, n``: the occurrences of every phrase of a trie, by language, as sums of each task's bincounts."""
-    shared = texts.sparkSession.sparkContext.broadcast(tuple(trie))
+    shared = chunks.sparkSession.sparkContext.broadcast(tuple(trie))
 
     def work(batches):
         own, sums = Trie(*shared.value), {}
@@ -264,36 +299,44 @@ def counted(texts: DataFrame, trie: Trie, phrases: int) -> DataFrame:
         def taken():
             for lang, counts in sums.items():
                 numbers = np.flatnonzero(counts)
-                yield _rows(lang, numbers, counts[numbers], ("lang", "number", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(numbers), pa.string()), pa.array(numbers), pa.array(counts[numbers])], names=["lang", "number", "n"])
             sums.clear()
 
-        for lang, words, ids in chunks_of(batches):
-            if lang not in sums and len(sums) >= LANGUAGES_KEPT:
+        for chunk in read_chunks(batches):
+            if chunk.lang not in sums and len(sums) >= LANGUAGES_KEPT:
                 yield from taken()
-            counts = np.bincount(own.accepted(words, ids), minlength=phrases)
-            sums[lang] = sums[lang] + counts if lang in sums else counts
+            counts = np.bincount(own.accepted(chunk.words, chunk.ids), minlength=phrases)
+            sums[chunk.lang] = sums[chunk.lang] + counts if chunk.lang in sums else counts
         yield from taken()
 
-    return texts.mapInArrow(work, "lang string, number long, n long")
+    return chunks.select("lang", "ids", "words").mapInArrow(work, "lang string, number long, n long")
 
 
-def phrase_counts(texts: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, f`` with ``f`` of at least ``least``, written; ``found`` holds the candidates."""
-    size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
-    shards = max(1, -(-size[0] // SHARD_PHRASES), -(-size[1] // SHARD_BYTES))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)))
-    numbers = cut_lineage(dealt.withColumn("number", F.row_number().over(W.partitionBy("shard").orderBy("phrase")).cast("long") - 1))
+def phrase_counts(chunks: DataFrame, found: DataFrame, spelt: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, f`` with ``f`` of at least ``least``, written; ``found`` and ``spelt`` are the candidates and their words."""
+    size = found.agg(F.count(F.lit(1))).first()[0]
+    word_bytes = spelt.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_PHRASES), -(-word_bytes // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("a", "b", "c"), F.lit(shards))
+    runs = cut_lineage(found.withColumn("shard", shard).withColumn("number", F.row_number().over(W.partitionBy("shard").orderBy("a", "b", "c")).cast("long") - 1))
     sums = None
-    for shard in range(shards):
-        rows = numbers.filter(F.col("shard") == shard).select("number", F.col("phrase").cast("binary").alias("phrase")).toPandas()
+    for part in range(shards):
+        own = runs.filter(F.col("shard") == part)
+        rows = own.select("number", "a", "b", "c").toArrow().sort_by("number")
+        held = own.select(F.explode(F.array_compact(F.array("a", "b", "c"))).alias("a")).distinct()
+        words = spelt.join(held, "a", "left_semi").select("a", F.col("word").cast("binary").alias("word")).toArrow()
+        keys = np.unique(words["a"].to_numpy())
+        symbols = dict(zip(words["word"].to_pylist(), np.searchsorted(keys, words["a"].to_numpy()).tolist(), strict=True))
+        columns = [np.where(rows[c].is_null().to_numpy(), -1, np.searchsorted(keys, rows[c].fill_null(0).to_numpy())) for c in "abc"]
         if len(rows):
-            phrases = rows.sort_values("number")["phrase"].map(bytes).tolist()
-            part = counted(texts, trie_of(phrases), len(phrases)).withColumn("shard", F.lit(shard).cast("long"))
-            sums = part if sums is None else sums.union(part)
+            counts = counted(chunks, trie_of(np.stack(columns, 1), symbols), len(rows)).withColumn("shard", F.lit(part).cast("long"))
+            sums = counts if sums is None else sums.union(counts)
     if sums is None:
-        return found.select(F.lit("").alias("lang"), "phrase", F.lit(0).cast("long").alias("f")).limit(0)
-    total = sums.groupBy("shard", "number", "lang").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return cut_lineage(total.join(numbers, ["shard", "number"]).select("lang", "phrase", "f"))
+        return chunks.select("lang", F.lit("").alias("phrase"), F.lit(0).cast("long").alias("f")).limit(0)
+    total = sums.groupBy("shard", "number", "lang").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).join(runs, ["shard", "number"])
+    for place in "abc":
+        total = total.join(spelt.select(F.col("a").alias(place), F.col("word").alias(f"word_{place}")), place, "left")
+    return cut_lineage(total.select("lang", F.concat_ws(" ", "word_a", "word_b", "word_c").alias("phrase"), "f"))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -319,10 +362,11 @@ def scored(counts: DataFrame) -> DataFrame:
 
 def best(docs: DataFrame, least: int = 10, most: int = 2000) -> DataFrame:
     """Each language's ``most`` collocations by score, occurrences and phrase: ``lang, rank, phrase, a, l, r, n, score``."""
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found, totals = candidates(texts, least)
+    chunks = encoded(docs)
+    found, spelt = candidates(chunks, least)
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = scored(phrase_counts(texts, found, least)).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+    top = scored(phrase_counts(chunks, found, spelt, least)).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+    totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     return top.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
