@@ -154,6 +154,11 @@ def passing(chunks: DataFrame, length: int, earlier: list[Bitmap], least: int) -
     return cut_lineage(sums.filter(F.col("n") >= least).select("key"))
 
 
+def _few(chunks: DataFrame) -> DataFrame:
+    """For passes in which every task sends each candidate that it meets: two tasks a core, so it is sent less often."""
+    return chunks.coalesce(2 * chunks.sparkSession.sparkContext.defaultParallelism)
+
+
 def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """``a, b, c``: the word hashes of every run of up to three words that may reach ``least`` in some language (null beyond its end); and ``a, word``, the words of these runs. Both written."""
     tables, bitmaps = [], []
@@ -171,7 +176,7 @@ def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     def runs(batches):
         seen = [[np.zeros(0, np.uint64)] for _ in range(LONGEST)]
         for chunk in read_chunks(batches):
-            for k, (at, keys) in enumerate(run_keys(chunk, bitmaps, LONGEST)):
+            for k, (at, keys) in list(enumerate(run_keys(chunk, bitmaps, LONGEST)))[1:]:
                 fresh, first = new_in(seen[k], keys)
                 parts = [pa.array(chunk.keys[chunk.ids[at[first] + i]].view(np.int64)) if i <= k else pa.nulls(len(first), pa.int64()) for i in range(LONGEST)]
                 yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), *parts], names=["key", "a", "b", "c"])
@@ -186,10 +191,12 @@ def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             texts = pa.array([chunk.words[i] for i in some.tolist()], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), pa.array(chunk.keys[some].view(np.int64)), texts], names=["key", "a", "word"])
 
-    met = chunks.select("lang", "keys", "ids").mapInArrow(runs, "key long, a long, b long, c long").dropDuplicates(["key"])
-    found = met.join(tables[0].union(tables[1]).union(tables[2]), "key", "left_semi").select("a", "b", "c").distinct()
-    spelt = chunks.select("lang", F.lit(b"").alias("ids"), "keys", "words").mapInArrow(words, "key long, a long, word string").join(tables[0], "key", "left_semi")
-    return cut_lineage(found), cut_lineage(spelt.select("a", "word").distinct())
+    met = _few(chunks.select("lang", "keys", "ids")).mapInArrow(runs, "key long, a long, b long, c long").dropDuplicates(["key"])
+    longer = met.join(tables[1].union(tables[2]), "key", "left_semi").select("a", "b", "c").distinct()
+    spelt = _few(chunks.select("lang", F.lit(b"").alias("ids"), "keys", "words")).mapInArrow(words, "key long, a long, word string").join(tables[0], "key", "left_semi")
+    spelt = cut_lineage(spelt.select("a", "word").distinct())
+    none = F.lit(None).cast("long")
+    return cut_lineage(longer.union(spelt.select("a", none, none).distinct())), spelt
 
 
 class Trie(NamedTuple):
@@ -309,7 +316,7 @@ def counted(chunks: DataFrame, trie: Trie, phrases: int) -> DataFrame:
             sums[chunk.lang] = sums[chunk.lang] + counts if chunk.lang in sums else counts
         yield from taken()
 
-    return chunks.select("lang", "ids", "words").mapInArrow(work, "lang string, number long, n long")
+    return _few(chunks.select("lang", "ids", "words")).mapInArrow(work, "lang string, number long, n long")
 
 
 def phrase_counts(chunks: DataFrame, found: DataFrame, spelt: DataFrame, least: int) -> DataFrame:
