@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import normalize_name, normalize_phone
 from tidemark.operators import analytics as a
+from tidemark.operators import similarity
 from tidemark.operators.ordered import running
 from tidemark.plans.generated import MULTI_SOURCE, multi_source
 from tidemark.plans.registry import query
@@ -124,6 +125,21 @@ def semantic_key_join(t):
     return joined.select("c_name", "c_mktsegment", "uses")
 
 
+@query("entity_match_similar", """
+WITH n AS (SELECT c_custkey AS id, substr(md5(c_custkey::VARCHAR), 1, 16) AS l FROM customer), m AS (SELECT id, l, substr(l, 1, id % 16) || 'x' || substr(l, id % 16 + 2) AS r FROM n),
+g AS (SELECT id, list_distinct(list_transform(range(1, len(l) + 3), lambda i: substr('##' || l || '##', i, 3))) AS a, list_distinct(list_transform(range(1, len(r) + 3), lambda i: substr('##' || r || '##', i, 3))) AS b FROM m),
+p AS (SELECT x.id AS left_record, y.id AS right_record, len(list_intersect(x.a, y.b)) AS shared, len(x.a) + len(y.b) - len(list_intersect(x.a, y.b)) AS every FROM g AS x, g AS y)
+SELECT left_record, right_record, shared::DOUBLE / every AS similarity FROM p WHERE 100 * shared >= 60 * every
+QUALIFY row_number() OVER (PARTITION BY left_record ORDER BY shared::DOUBLE / every DESC, right_record) = 1
+""")
+def entity_match_similar(t):
+    """Customers under invented names, and under the same names with one wrong letter."""
+    left = t.customer.select(F.col("c_custkey").alias("id"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 16).alias("name"))
+    at = (F.col("id") % 16).cast("int")
+    right = left.select("id", F.concat(F.substring("name", F.lit(1), at), F.lit("x"), F.substring("name", at + 2, F.lit(16))).alias("name"))
+    return similarity.match_similar(left, right, "id", "name", percent=60)
+
+
 @query("entity_match", f"""
 WITH m AS ({MULTI_SOURCE}),
 l AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS p, lower(last_name) AS n FROM m WHERE source = 'A'),

@@ -81,6 +81,11 @@ def fk_discovery(t):
     return keys(t)
 
 
+@query("fk_discovery_sketched", FOREIGN_KEYS)
+def fk_discovery_sketched(t):
+    return r.fk_discovery_sketched({k: k.split(".")[1] for k in KEYS}, {k.split(".")[0]: getattr(t, k.split(".")[0]) for k in KEYS})
+
+
 @query("semantic_fk_discovery", """
 WITH l AS (SELECT DISTINCT 'customer#' || lpad(user_id::VARCHAR, 9, '0') AS v FROM events), c AS (SELECT DISTINCT lower(c_name) AS v FROM customer)
 SELECT 'events.login' AS child, 'customer.c_name' AS parent, count(*)::DOUBLE / (SELECT count(*) FROM l) AS containment FROM l JOIN c USING (v) HAVING count(*) > 0

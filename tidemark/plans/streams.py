@@ -11,6 +11,7 @@ from tidemark.plans.fixtures import SNAPSHOTS, TRANSFORM_LOG
 from tidemark.plans.audit import lag_equal
 from tidemark.plans.registry import query
 from tidemark.session import new_path
+from tidemark.sources.ledger import drain, ledger_stream
 from tidemark.streaming import streams as s
 
 WATERMARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
@@ -84,6 +85,21 @@ def stream_upsert(t):
     return s.read_upserts(t.spark, folder, ["key"], ["version"])
 
 
+@query("stream_upsert_levels", f"""
+SELECT key, version, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM ({SNAPSHOTS})) WHERE rn = 1 AND op <> 'delete'
+""")
+def stream_upsert_levels(t):
+    # Twenty micro-batches in an order that has nothing to do with versions; levels of three runs are merged on the way.
+    folder = new_path(t.spark, "levels")
+    changes = t.orders.selectExpr(
+        "o_orderkey div 3 AS key", "o_orderkey AS version", "CASE WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op",
+        "cast(round(o_totalprice * 100) AS bigint) AS value",
+    )
+    changes.repartition(20, F.col("version")).write.parquet(f"{folder}/in")
+    stream = s.event_source(t.spark, f"{folder}/in", changes.schema, when=None, files=1)
+    return s.upsert_batches(stream, ["key"], ["version"], folder, fanout=3).read()
+
+
 @query("stream_resume", f"""
 SELECT bin, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bin, count(*) AS n FROM events GROUP BY ALL) WHERE bin + INTERVAL 1 HOUR <= {WATERMARK}
 """)
@@ -111,6 +127,20 @@ def event_ingest(t):
     return t.spark.read.parquet(f"{folder}/out").select("event_id", "day", "event_type", "value")
 
 
+@query("bounded_ingest", "SELECT event_id, ts::DATE AS day, event_type, value FROM events")
+def bounded_ingest(t):
+    # One file of many small row groups, taken in batches of at most 64 KB.
+    folder = new_path(t.spark, "bounded")
+    t.events.coalesce(1).write.option("parquet.block.size", 16 * 1024).option("parquet.page.size", 4 * 1024).parquet(f"{folder}/in")
+    rows = ledger_stream(t.spark, f"{folder}/in", t.events.schema, f"{folder}/ledger", 64 * 1024)
+
+    def each(batch, number):
+        batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type", "value").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    drain(rows, each, f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out").select("event_id", "day", "event_type", "value")
+
+
 @query("micro_batch_source", "SELECT source, count(*) AS rows, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY source")
 def micro_batch_source(t):
     # Four files, one per micro-batch; each batch leaves its partial sums.

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.analytics import latest
-from tidemark.operators.audit import repeat_loop
 from tidemark.operators.logs import per_bin
-from tidemark.operators.ordered import positions
 from tidemark.session import new_path
-from tidemark.sources.files import dataset_exists
+from tidemark.streaming.loops import TTL_MILLIS, flagged, rocks_state
+from tidemark.streaming.upserts import UpsertTable
 
 WATERMARK = "10 minutes"
 
@@ -84,45 +83,26 @@ def dedupe(events: DataFrame, keys: Sequence[str], when: str, late: str = WATERM
     return events.withWatermark(when, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def loop_batches(log: DataFrame, folder: str) -> DataFrame:
-    """Flags rows equal to the row before in their run, over all micro-batches.
+def loop_batches(log: DataFrame, folder: str, late: str = WATERMARK, ttl_millis: int = TTL_MILLIS) -> DataFrame:
+    """Flags rows equal to the row before in their run, over all micro-batches (see ``streaming.loops``).
 
-    The last row of each run is kept between batches as a small table, one folder per batch number. A
-    batch is joined by the kept rows and goes through the same operator as a batch job, so a run that
-    owns most of a micro-batch is spread over many tasks; a batch that is run again replaces its folders.
-    Input rows carry ``run``, ``ts``, ``event_id`` and the triple.
+    Started again with the same folder it goes on from its state; the file sink commits each batch once.
     """
-    spark = log.sparkSession
-    order = ["ts", "event_id"]
+    with rocks_state(log.sparkSession):
+        return run_available(flagged(log, late, ttl_millis), f"{folder}/out", f"{folder}/checkpoint")
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("kept", F.lit(False))
-        before = f"{folder}/state/batch={number - 1}"
-        if dataset_exists(spark, before):
-            rows = rows.unionByName(spark.read.parquet(before).withColumn("kept", F.lit(True)))
-        placed = positions(rows, ["run"], order, out="seq")
-        flagged = repeat_loop(placed).filter(~F.col("kept"))
-        flagged.select("run", "event_id", "is_loop").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        latest(rows.drop("kept"), ["run"], order).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    run_batches(log, each, f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+def upsert_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, op: str = "op", **options) -> UpsertTable:
+    """Adds each micro-batch to the upsert table in ``folder`` (see ``streaming.upserts``); ``options`` are the table's.
 
-
-def upsert_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str) -> None:
-    """Writes each micro-batch, reduced to its newest row per key, to a folder of its own number.
-
-    A batch that is run again replaces its own folder, so nothing counts twice. ``read_upserts`` merges
-    on read.
+    The table knows the last batch of each checkpoint, so a batch that is run again counts once.
     """
-
-    def each(batch: DataFrame, number: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-
-    run_batches(stream, each, f"{folder}/checkpoint")
+    table = UpsertTable(stream.sparkSession, folder, keys, order, op, **options)
+    checkpoint = f"{folder}/checkpoint"
+    run_batches(stream, lambda batch, number: table.apply(batch, number, checkpoint), checkpoint)
+    return table
 
 
 def read_upserts(spark: SparkSession, folder: str, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
     """The table after all batches: newest row per key, deleted keys left out."""
-    rows = spark.read.parquet(f"{folder}/changes").drop("batch")
-    return latest(rows, keys, order).filter(F.col(op) != "delete").drop(op)
+    return UpsertTable(spark, folder, keys, order, op).read()
