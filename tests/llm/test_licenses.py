@@ -50,3 +50,20 @@ def test_only_statements_are_removed(spark):
     left = ["copyright holders are liable", "copyright notice this list", "copyright law is old", "c you must retain all notices", "all rights reserved by nobody", "some words stay here", "", "", "x y", "more words"]
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     assert [r[0] for r in frame.orderBy("k").select(s.canonical(frame.t)).collect()] == left
+
+
+def test_many_statements_long_lists_and_lines_without_a_year(spark):
+    holders = ", ".join(f"Holder Number{k} of a Company With a Long Name" for k in range(200))
+    texts = {
+        1: "Copyright (c) 2020 X\n" + "(c) 2019 Some Author\n" * 20_000 + MIT,
+        2: "Copyright (c) 2020 X\n" + "(c) Some Author\n" * 20_000 + MIT,
+        3: f"Copyright (c) 2020 {holders}\n\n" + MIT,
+        4: f"Copyright (c) 2020 {holders}. All rights reserved. " + MIT,
+        5: f"Copyright (c) 2020 {holders}\n{holders} All rights reserved.\n" + MIT,
+        6: "Copyright Holder Inc. All rights reserved.\n" + MIT,
+        7: "Copyright (c) 2020 " + "x" * 1_000_000 + "\n" + MIT,
+        8: "(c) you must keep this clause\n" + MIT,
+        9: "\n(c) you must keep this clause\n" + MIT,
+    }
+    got = {r.doc_id: r.license for r in s.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(1, 8), "MIT"), 8: None, 9: None}

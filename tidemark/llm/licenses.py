@@ -7,8 +7,8 @@ each document, and each line of a document, for notices stand on lines of their
 texts is a constant of this module, so its broadcast does not grow with the data; a document has one row however
 many lines match.
 
-A copyright statement is the word copyright with a sign, (c) or a year, or a sign or (c) with a year, up to the end of its holder: the
-words all rights reserved, the start of a known text, the end of a sentence or of the line. The start of a known text may stand on the next
+A copyright statement is the word copyright with a sign, (c) or a year, or a sign or (c) with a year, or a line that begins with copyright and
+says that all rights are reserved, up to the end of its holder, however long the list of holders: the words all rights reserved, the start of a known text, the end of a sentence or of the line. The start of a known text may stand on the next
 line, as statements wrap too. All rights reserved goes also where it stands alone.
 
 ``sql`` states the rule that held before, by which whole lines went, and is left as it was: both agree where the only such lines hold
@@ -98,11 +98,14 @@ def _starts() -> str:
 
 
 _YEAR, _SIGN, _RESERVED = r"(?:19|20)\d\d\b", r"(?:\(c\)|©|&copy;)", r"all\s+rights\s+reserved\b\.?"
-_OPENING = rf"(?:\bcopyright\b[ \t:]*(?:{_SIGN}|{_YEAR})|{_SIGN}\s*(?:copyright\b|{_YEAR})|^[^a-z0-9\n]*©)"
+_OPENING = rf"(?:\bcopyright\b[ \t:]*(?:{_SIGN}|{_YEAR})|{_SIGN}\s*(?:copyright\b|{_YEAR})|^[^a-z0-9\n]*©|^[^a-z0-9\n]*copyright\b(?=[^\n]*{_RESERVED}))"
 _SENTENCE = r"(?<=[^\W\d_]{2})(?<!\binc)(?<!\bltd)(?<!\bco)(?<!\bcorp)(?<!\bst)(?<!\bdr)(?<!\bjr)(?<!\bsr)\.(?=\s)"
-_HOLDER = rf"(?:[^\n]{{0,200}}?(?:{_RESERVED}|(?=(?:{_starts()}))|{_SENTENCE})|[^\n]{{0,120}}\n(?!\s*\n)(?:(?!{_SENTENCE})[^\n]){{0,120}}?\.?\s*(?:{_RESERVED}|(?=(?:{_starts()})))|[^\n]{{0,200}}$)"
-#: Statements, and lines after a statement that begin with (c) alone.
-STATEMENT = rf"(?mdU){_OPENING}{_HOLDER}?(?:\s*\n[ \t]*\(c\)[^\n]{{0,200}}$)*"
+_STOP = rf"(?:{_RESERVED}|(?=(?:{_starts()})))"
+#: The holder ends in the same line, or in the next one before a sentence does, or with the line. Every quantifier is of one character class, so
+#: the expression neither recurses over long lines or many lines nor needs a length limit.
+_HOLDER = rf"(?:[^\n]*?(?:{_STOP}|{_SENTENCE})|[^\n]*+\n(?!\s*\n)(?>[^\n]*?(?=\.?\s*{_STOP}|{_SENTENCE}|$))\.?\s*{_STOP}|[^\n]*+)"
+#: Statements, and lines right after a statement (where the last match ended) that begin with (c) alone.
+STATEMENT = rf"(?mdU){_OPENING}{_HOLDER}|(?!\A)\G\s*\n[ \t]*\(c\)[^\n]*+"
 RESERVED = r"(?md)(?:^|(?<=\.)\s)[^a-z0-9\n]*all\s+rights\s+reserved(?:\.|(?=[^a-z0-9\n]*$))"
 
 
