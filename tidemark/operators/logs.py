@@ -147,3 +147,16 @@ def skew_report(df: DataFrame, key: str, parts: int) -> DataFrame:
     ratio = F.col("largest") / F.col("average")
     status = F.when(ratio > 1.5, "HIGH").when(ratio > 1.2, "MODERATE").otherwise("OK")
     return totals.select("largest", "average", ratio.alias("skew"), status.alias("status"))
+
+
+def hot_keys(df: DataFrame, key: str, least: float = 0.001) -> DataFrame:
+    """Every key that holds at least the share ``least`` of all rows, with its exact number of rows and share.
+
+    A first pass keeps counters of the Misra-Gries family in each task, merged at the end, at most some multiple of ``1 / least`` whatever
+    the number of keys: they lose no key of that share. A second pass counts only the keys they name, exactly. Null is a key.
+    """
+    text = df.select(F.col(key).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_text"))
+    named = text.stat.freqItems(["_text"], least).select(F.explode("_text_freqItems").alias("_text"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    counted = text.join(named, "_text", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select("key", "rows", share(F.col("rows"), total).alias("share")).filter(F.col("share") >= least)

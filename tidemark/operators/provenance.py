@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import checksum, share
 from tidemark.operators.analytics import latest
+from tidemark.operators.ordered import join_null_safe
 from tidemark.session import cut_lineage
 from tidemark.sources.files import is_complete
 
@@ -130,6 +131,43 @@ def merge_aggregates(base: DataFrame, delta: DataFrame, keys: Sequence[str], sum
     return both.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
 
 
+def materialize(rows: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), ends: Sequence[str] = (), distinct: Sequence[str] = ()) -> DataFrame:
+    """An aggregate that deltas can be merged into: ``rows``, sums, ``c_min`` and ``c_max`` of ``ends``, and a theta sketch ``c_values`` of each of ``distinct``."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in sums],
+        *[m.alias(f"{c}_{name}") for c in ends for name, m in (("min", F.min(c)), ("max", F.max(c)))],
+        *[F.theta_sketch_agg(c).alias(f"{c}_values") for c in distinct],
+    )
+
+
+def merge_materialized(
+    base: DataFrame, inserted: DataFrame, deleted: DataFrame, detail: DataFrame,
+    keys: Sequence[str], sums: Sequence[str] = (), ends: Sequence[str] = (), distinct: Sequence[str] = (),
+) -> DataFrame:
+    """``materialize`` of the detail table after a delta, without reading what the delta does not touch.
+
+    Inserted rows are summed up and merged: counts and sums add, ends compare, sketches unite. A deletion can take away an end or a
+    last occurrence, which no summary can tell, so the keys with deleted rows, and only they, are read again from
+    ``detail`` (the table after the delta). A key without rows goes. Sketches are exact up to their 4,096 values a key.
+    """
+    new = materialize(inserted, keys, sums, ends, distinct)
+    both = base.select(*new.columns).union(new)
+    merged = both.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in sums],
+        *[m.alias(f"{c}_{name}") for c in ends for name, m in (("min", F.min(f"{c}_min")), ("max", F.max(f"{c}_max")))],
+        *[F.theta_union_agg(f"{c}_values").alias(f"{c}_values") for c in distinct],
+    )
+    touched = deleted.select(*keys).distinct()
+    kept = join_null_safe(merged, touched.withColumn("_touched", F.lit(True)), list(keys), "left").filter("_touched IS NULL").drop("_touched")
+    again = join_null_safe(detail, touched.withColumn("_touched", F.lit(True)), list(keys), "inner").drop("_touched")
+    return kept.unionByName(materialize(again, keys, sums, ends, distinct))
+
+
+def estimated(base: DataFrame, distinct: Sequence[str]) -> DataFrame:
+    """``base`` with the number of different values in place of each sketch."""
+    return base.withColumns({f"{c}_values": F.theta_sketch_estimate(f"{c}_values") for c in distinct})
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str) -> DataFrame:
     """Base rows with changes applied: the newest row per key wins, deletes drop the key."""
     current = base.withColumn(op, F.lit("upsert"))

@@ -212,6 +212,57 @@ def reach(edges: DataFrame, starts: DataFrame, join_levels: int = 8) -> DataFram
     return seen
 
 
+def reach_far(edges: DataFrame, starts: DataFrame, paths: bool = True) -> DataFrame:
+    """``reach`` for deep graphs: rounds follow the logarithm of the longest chain, and the depth of what is left without chains.
+
+    A node with one edge in and one out that is no start is inside a chain. Every such node points to its predecessor,
+    and in each round to what that one points to, so after ``log2`` of a chain's length all its nodes know their distance and path from
+    the chain's head. Chains then are single edges of a length, over which depths are corrected until none falls, and the
+    nodes inside are placed behind their heads. A circle of such nodes alone has no head and cannot be reached.
+    """
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    ends = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("head")).filter("n = 1").select(F.col("dst").alias("node"), "head")
+    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("src").alias("node"))
+    step = F.concat(F.lit(">"), F.col("node")) if paths else F.lit("")
+    inside = ends.join(out, "node", "left_semi").join(starts.select("node"), "node", "left_anti")
+    jumps = cut_lineage(inside.select("node", "head", F.lit(1).cast("long").alias("far"), step.alias("way")))
+    size = jumps.count()
+    for _ in range(size.bit_length()):
+        nearer = jumps.select(F.col("node").alias("head"), F.col("head").alias("above"), F.col("far").alias("further"), F.col("way").alias("before"))
+        joined = jumps.join(nearer, "head", "left")
+        known = F.col("above").isNotNull()
+        jumps = cut_lineage(joined.select(
+            "node", F.coalesce("above", "head").alias("head"), (F.col("far") + F.coalesce("further", F.lit(0))).alias("far"),
+            F.concat(F.coalesce("before", F.lit("")), "way").alias("way"), known.alias("moved"),
+        ))
+        if jumps.filter("moved").isEmpty():
+            break
+        jumps = jumps.drop("moved")
+    jumps = jumps.select("node", "head", "far", "way")
+    headed = jumps.join(jumps.select(F.col("node").alias("head")), "head", "left_anti") if size else jumps
+    into = links.join(jumps.select(F.col("node").alias("dst")), "dst", "left_anti")
+    last = F.concat(F.lit(">"), F.col("dst")) if paths else F.lit("")
+    behind = headed.select(F.col("node").alias("src"), "head", "far", "way")
+    roads = cut_lineage(into.join(behind, "src", "left").select(
+        F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.concat(F.coalesce("way", F.lit("")), last).alias("way")
+    ))
+    best = cut_lineage(starts.select("node", F.lit(0).cast("long").alias("depth"), (F.col("node") if paths else F.lit("")).alias("path")))
+    front = best
+    while True:
+        met = front.join(roads, front["node"] == roads["src"]).select(F.col("dst").alias("node"), (F.col("depth") + F.col("far")).alias("depth"), F.concat("path", "way").alias("path"))
+        offers = met.groupBy("node").agg(F.min(F.struct("depth", "path")).alias("new"))
+        after = cut_lineage(best.withColumn("old", F.struct("depth", "path")).select("node", "old").join(offers, "node", "full").select(
+            "node", F.least("old", "new").alias("now"), (F.col("old").isNull() | (F.col("new") < F.col("old"))).alias("changed")
+        ))
+        best = after.select("node", "now.depth", "now.path")
+        front = after.filter("changed").select("node", "now.depth", "now.path")
+        if front.isEmpty():
+            break
+    within = headed.join(best.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("far")).alias("depth"), F.concat("path", "way").alias("path"))
+    found = best.union(within).select("node", F.col("depth").cast("int").alias("depth"), "path")
+    return found if paths else found.drop("path")
+
+
 def join_paths(keys: DataFrame, start: str) -> DataFrame:
     """Shortest join path from one table to each other, over discovered keys in either direction."""
     tables = keys.select(

@@ -164,3 +164,10 @@ def row_count_audit(t):
 
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
     return row_counts({n: getattr(t, n) for n in names})
+
+
+@query("hot_keys", """
+SELECT user_id AS key, count(*) AS rows, count(*)::DOUBLE / (SELECT count(*) FROM events) AS share FROM events GROUP BY user_id HAVING count(*)::DOUBLE / (SELECT count(*) FROM events) >= 0.008
+""")
+def hot_keys(t):
+    return g.hot_keys(t.events, "user_id", 0.008)

@@ -108,6 +108,20 @@ def incremental_merge(t):
     return p.merge_aggregates(totals(old), totals(new), ["o_custkey"], ["rows", "cents"])
 
 
+@query("incremental_merge_deletes", """
+SELECT o_custkey, count(*) AS rows, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, min(o_orderdate) AS day_min, max(o_orderdate) AS day_max, count(DISTINCT o_orderpriority) AS priority_values
+FROM orders WHERE NOT (o_orderdate < '1999-01-01' AND o_orderkey % 97 = 0) GROUP BY o_custkey
+""")
+def incremental_merge_deletes(t):
+    """Old orders summed up, then one delta: new orders come, some old ones go."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("day"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.col("o_orderpriority").alias("priority"))
+    cut, gone = F.lit("1999-01-01").cast("timestamp_ntz"), F.col("o_orderkey") % 97 == 0
+    old, new = rows.filter(F.col("day") < cut), rows.filter(F.col("day") >= cut)
+    columns = (["o_custkey"], ["cents"], ["day"], ["priority"])
+    merged = p.merge_materialized(p.materialize(old, *columns), new, old.filter(gone), old.filter(~gone).union(new), *columns)
+    return p.estimated(merged, ["priority"])
+
+
 @query("snapshot_as_of", f"""
 SELECT key, version_ts, version, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version_ts DESC, version DESC) AS rn
  FROM ({SNAPSHOTS}) WHERE version_ts <= '1998-06-30') WHERE rn = 1 AND op <> 'delete'

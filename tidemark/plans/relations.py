@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import analytics
 from tidemark.operators import relations as r
+from tidemark.operators.ordered import positions
 from tidemark.plans.registry import COLUMNS, ROWS, TABLES, query
 
 PROFILED = {
@@ -148,6 +149,19 @@ def lineage_reach(t):
     return r.reach(edges(t), starts).select("node", "depth")
 
 
+@query("lineage_reach_far", """
+SELECT 'event:' || event_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS depth FROM events
+UNION ALL SELECT DISTINCT 'user:' || user_id, 0 FROM events
+""")
+def lineage_reach_far(t):
+    """Chains as long as a user's history: each event comes from the user's event before, the first from the user."""
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    placed = positions(t.events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], out="pos")
+    before = placed.select("user_id", (F.col("pos") + 1).alias("pos"), node("event", "event_id").alias("src"))
+    links = placed.join(before, ["user_id", "pos"], "left").select(F.coalesce("src", node("user", "user_id")).alias("src"), node("event", "event_id").alias("dst"))
+    return r.reach_far(links, t.events.select(node("user", "user_id").alias("node")).distinct(), paths=False)
+
+
 @query("connected_groups", f"""
 WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES})), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 w(node, grp) AS (SELECT src, src FROM b WHERE src LIKE 'region%' UNION SELECT dst, grp FROM w JOIN b ON src = node)
