@@ -33,11 +33,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import Sums, gathered, hashes, numbered
+from tidemark.llm.common import batch_rows
 from tidemark.llm.words import mixed
 from tidemark.session import cut_lineage
 
 LONGEST = 3
 CHUNK_BYTES = 2_000_000
+#: Rows that a Python worker gets at once: of texts, and of chunks.
+TEXT_ROWS, CHUNK_ROWS = 2000, 4
 SHARD_PHRASES = 1_000_000
 SHARD_BYTES = 32_000_000
 MOST_BITS = 30
@@ -369,10 +372,13 @@ def scored(counts: DataFrame) -> DataFrame:
 
 def best(docs: DataFrame, least: int = 10, most: int = 2000) -> DataFrame:
     """Each language's ``most`` collocations by score, occurrences and phrase: ``lang, rank, phrase, a, l, r, n, score``."""
-    chunks = encoded(docs)
-    found, spelt = candidates(chunks, least)
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        chunks = encoded(docs)
+    with batch_rows(docs.sparkSession, CHUNK_ROWS):
+        found, spelt = candidates(chunks, least)
+        counts = phrase_counts(chunks, found, spelt, least)
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = scored(phrase_counts(chunks, found, spelt, least)).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+    top = scored(counts).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     return top.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

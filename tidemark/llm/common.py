@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +28,15 @@ def in_batches(rows: DataFrame, work, schema) -> DataFrame:
     """``mapInArrow`` on batches of at most ``BATCH_ROWS`` rows, a setting of the session from then on."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return rows.mapInArrow(work, schema)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Python workers get ``rows`` rows at once in the jobs that run inside; the session's own setting is restored after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
