@@ -143,6 +143,21 @@ def resort_table(t):
     )
 
 
+@query("curve_table", """
+SELECT 'customer' AS filter, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_custkey BETWEEN 40 AND 60
+UNION ALL SELECT 'day', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderdate >= '1997-03-01' AND o_orderdate < '1997-05-01'
+""")
+def curve_table(t):
+    """Two independent filters over the rewritten table; tests/test_curve.py counts the files that each opens."""
+    path = new_path(t.spark, "curve")
+    f.cluster(t.orders, path, ["o_custkey", "o_orderdate"], 16)
+    rows = t.spark.read.parquet(path)
+    day = lambda text: F.lit(text).cast("timestamp_ntz")
+    found = {"customer": F.col("o_custkey").between(40, 60), "day": (F.col("o_orderdate") >= day("1997-03-01")) & (F.col("o_orderdate") < day("1997-05-01"))}
+    parts = [rows.filter(kept).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")).select(F.lit(name).alias("filter"), "rows", "keys") for name, kept in found.items()]
+    return parts[0].union(parts[1])
+
+
 @query("table_inventory", f"SELECT table_name, rows, true AS has_files, true AS has_bytes FROM ({ROWS})")
 def table_inventory(t):
     """Rows per table; numbers of files and bytes are the storage's own, so only their presence is compared."""
