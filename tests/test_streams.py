@@ -85,3 +85,16 @@ def test_sessions(spark):
     stream = streams.event_source(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
     done = streams.run_once(streams.sessions(stream, "id", "ts", "10 minutes"), "s").orderBy("session_start").collect()
     assert [r.events for r in done] == [3, 2]
+
+
+def test_loop_state_ends_with_its_time_to_live(spark):
+    schema = "run bigint, ts timestamp, event_id bigint, field string, old_value string, new_value string"
+    folder = new_path(spark, "ttl")
+    hours = {1: [0, 1, 50, 51], 2: [0, 30, 52]}  # run 1 is silent for 49 hours, run 2 never for 40
+    rows = sorted((START + datetime.timedelta(hours=h), run) for run, at in hours.items() for h in at)
+    for k, (ts, run) in enumerate(rows):
+        feed(spark, f"{folder}/in", [(run, ts, k, "f", None, "same")], schema)
+    log = streams.event_source(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files=1)
+    done = streams.loop_batches(log, folder, late="1 minute", ttl_millis=40 * 3600 * 1000)
+    flags = {(rows[r.event_id][1], (rows[r.event_id][0] - START).total_seconds() // 3600): r.is_loop for r in done.collect()}
+    assert flags == {(1, 0): False, (1, 1): True, (1, 50): False, (1, 51): True, (2, 0): False, (2, 30): True, (2, 52): True}

@@ -62,7 +62,8 @@ def stream_loop_detect(t):
         "CASE WHEN event_id % 10 = 9 THEN NULL ELSE concat('v', event_id % 3) END AS old_value",
         "CASE WHEN event_id % 2 = 0 THEN concat(' 2024-1-', event_id % 4 + 1) ELSE concat('V', event_id % 4) END AS new_value",
     )
-    return s.loop_batches(log, new_path(t.spark, "loops"))
+    # The twin knows no time to live, so no silence within the given month may end a run.
+    return s.loop_batches(log, new_path(t.spark, "loops"), ttl_millis=400 * 24 * 3600 * 1000)
 
 
 @query("stream_dedupe", "SELECT DISTINCT md5(user_id || '-' || event_type || '-' || ts::DATE) AS record_id FROM events")

@@ -53,7 +53,8 @@ class LastRow(StatefulProcessor):
             kept = pd.DataFrame({"ts": [pd.Timestamp(before[0])], "event_id": [before[1]], "what": [before[2]], "old": [True]})
             new = pd.concat([new, kept], ignore_index=True)
         new = new.sort_values(["ts", "event_id"], kind="stable")
-        new["is_loop"] = new["what"] == new["what"].shift(1)
+        near = new["ts"] - new["ts"].shift(1) <= pd.Timedelta(milliseconds=self.ttl_millis)  # the same whenever the state goes
+        new["is_loop"] = (new["what"] == new["what"].shift(1)) & near
         end = new.iloc[-1]
         if not end["old"]:
             if before:
