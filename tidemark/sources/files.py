@@ -57,8 +57,8 @@ def resort(df: DataFrame, path: str, keys: Sequence[str], parts: int) -> None:
     df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def curve_position(df: DataFrame, keys: Sequence[str], bits: int = 8) -> Column:
-    """The place of a row on a space-filling curve over ``keys``: the bits of its rank in each key, interleaved.
+def with_curve_position(df: DataFrame, keys: Sequence[str], out: str, bits: int = 6) -> DataFrame:
+    """Adds ``out``, the place of a row on a space-filling curve over ``keys``: the bits of its rank in each key, interleaved.
 
     Ranks come from approximate percentiles of each key, so a skewed key is cut into parts of equal numbers of rows; nulls come first.
     Keys are numbers, dates or timestamps. The driver sees ``2^bits - 1`` bounds per key.
@@ -69,14 +69,16 @@ def curve_position(df: DataFrame, keys: Sequence[str], bits: int = 8) -> Column:
     shares = [k / 2**bits for k in range(1, 2**bits)]
     number = {key: (F.unix_micros(F.col(key).cast("timestamp")) if not isinstance(df.schema[key].dataType, T.NumericType) else F.col(key)).cast("double") for key in keys}
     bounds = df.agg(*[F.percentile_approx(number[key], shares, 100 * 2**bits).alias(key) for key in keys]).first()
-    place = F.lit(0).cast("long")
-    for k, key in enumerate(keys):
+    ranks = {}
+    for key in keys:
         cuts = sorted(set(bounds[key] or []))
         # the number of bounds at or below the value, by halving: log2 comparisons deep, no array is searched
-        rank = F.when(number[key].isNull(), F.lit(0)).otherwise(_rank(number[key], cuts, 0, len(cuts))).cast("long")
+        ranks[f"{out}_{key}"] = F.when(number[key].isNull(), F.lit(0)).otherwise(_rank(number[key], cuts, 0, len(cuts))).cast("long")
+    place = F.lit(0).cast("long")
+    for k, rank in enumerate(ranks):
         for bit in range(bits):
-            place = place.bitwiseOR(F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(keys) + k))
-    return place
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(F.col(rank), bit).bitwiseAND(F.lit(1).cast("long")), bit * len(keys) + k))
+    return df.withColumns(ranks).withColumn(out, place).drop(*ranks)
 
 
 def _rank(value: Column, cuts: Sequence[float], low: int, high: int) -> Column:
@@ -86,13 +88,13 @@ def _rank(value: Column, cuts: Sequence[float], low: int, high: int) -> Column:
     return F.when(value >= cuts[middle], _rank(value, cuts, middle + 1, high)).otherwise(_rank(value, cuts, low, middle))
 
 
-def cluster(df: DataFrame, path: str, keys: Sequence[str], parts: int, bits: int = 8) -> None:
+def cluster(df: DataFrame, path: str, keys: Sequence[str], parts: int, bits: int = 6) -> None:
     """Rewrites data in the order of a curve over several keys, so that a filter on any of them skips most files.
 
     With two keys a file covers about ``1 / sqrt(parts)`` of each key's rows, so a narrow filter on either opens about
     ``sqrt(parts)`` files, while sorting by one key leaves all of them open for the other.
     """
-    df.repartitionByRange(parts, curve_position(df, keys, bits)).write.mode("overwrite").parquet(path)
+    with_curve_position(df, keys, "_curve", bits).repartitionByRange(parts, "_curve").drop("_curve").write.mode("overwrite").parquet(path)
 
 
 def column_sample(long_rows: DataFrame, column: str, value: str, row_id: str, most: int = 100) -> DataFrame:
