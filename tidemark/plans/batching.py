@@ -26,6 +26,14 @@ def adaptive_batch_size(t):
     return b.adaptive_batch_size(t.documents, "source", "doc_id", F.col("n_chars") * 200, sampled_rows=b.SAMPLED_ROWS)
 
 
+@query("adaptive_batch_size_all", """
+SELECT source, mean_size, greatest(10, least(floor(52428800 / mean_size), 10000))::BIGINT AS batch_size FROM (SELECT source, sum(n_chars * 200)::DOUBLE / count(*) AS mean_size FROM documents GROUP BY source)
+""")
+def adaptive_batch_size_all(t):
+    """The same from every row, which a few odd first rows cannot mislead."""
+    return b.adaptive_batch_size(t.documents, "source", "doc_id", F.col("n_chars") * 200)
+
+
 @query("batched_map", "SELECT doc_id, length(text) AS characters FROM documents")
 def batched_map(t):
     def measure(batch):
