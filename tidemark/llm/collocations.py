@@ -4,7 +4,7 @@
    64-bit hashes of (language, run of k words), but only of runs both of whose shorter parts passed; hashes that
    reach ``least`` over all tasks pass. Two phrases with one hash add up, so a sum is never below a phrase's own count: no frequent phrase
    is lost, and what passes by chance is counted exactly later. Later levels test earlier ones in a bitmap of a bounded size
-   (``MOST_BITS``), where a false hit only lets a run through. Then the words of the runs that passed are collected, once each.
+   (``MOST_BITS``), where a false hit only lets a run through. Then the runs that passed are collected, once each, and the spelling of the words in them.
 2. *Tries.* Candidates are dealt into shards of at most about ``SHARD_PHRASES`` phrases and ``SHARD_BYTES`` bytes. A shard's trie is two arrays: from state s
    digit d leads to ``base[s] + d`` if ``check`` there is s. A word's symbol is two digits, so no state has more than
    ``DIGIT`` children but the root. Trie and dictionary of a shard are broadcast; their size is bounded by the two parameters.
@@ -41,7 +41,7 @@ LONGEST = 3
 CHUNK_BYTES = 2_000_000
 #: Rows that a Python worker gets at once: of texts, and of chunks.
 TEXT_ROWS, CHUNK_ROWS = 2000, 4
-SHARD_PHRASES = 1_000_000
+SHARD_PHRASES = 500_000
 SHARD_BYTES = 32_000_000
 MOST_BITS = 30
 DIGIT = 512
@@ -163,7 +163,8 @@ def _few(chunks: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``a, b, c``: the word hashes of every run of up to three words that may reach ``least`` in some language (null beyond its end); and ``a, word``, the words of these runs. Both written."""
+    """``a, b, c``: the word hashes of every run of two or three words that may reach ``least`` in some language, and of the single words in them (null beyond a run's end);
+    and ``a, word``, the spelling of these words. Both written."""
     tables, bitmaps = [], []
     for length in range(1, LONGEST + 1):
         tables.append(passing(chunks, length, bitmaps, least))
@@ -184,20 +185,22 @@ def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                 parts = [pa.array(chunk.keys[chunk.ids[at[first] + i]].view(np.int64)) if i <= k else pa.nulls(len(first), pa.int64()) for i in range(LONGEST)]
                 yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), *parts], names=["key", "a", "b", "c"])
 
+    met = _few(chunks.select("lang", "keys", "ids")).mapInArrow(runs, "key long, a long, b long, c long").dropDuplicates(["key"])
+    longer = cut_lineage(met.join(tables[1].union(tables[2]), "key", "left_semi").select("a", "b", "c").distinct())
+    # of single words only the parts of these runs are asked for
+    parts = cut_lineage(longer.select(F.explode(F.array_compact(F.array("a", "b", "c"))).alias("key")).distinct())
+    asked = Bitmap.of(parts)
+
     def words(batches):
         seen = [np.zeros(0, np.uint64)]
         for chunk in read_chunks(batches):
-            own = mixed(chunk.keys ^ hashes([chunk.lang.encode()]))
-            on = np.flatnonzero(bitmaps[0].has(own))
-            fresh, first = new_in(seen, own[on])
-            some = on[first]
-            texts = pa.array([chunk.words[i] for i in some.tolist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), pa.array(chunk.keys[some].view(np.int64)), texts], names=["key", "a", "word"])
+            on = np.flatnonzero(asked.has(chunk.keys))
+            fresh, first = new_in(seen, chunk.keys[on])
+            texts = pa.array([chunk.words[i] for i in on[first].tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), texts], names=["key", "word"])
 
-    met = _few(chunks.select("lang", "keys", "ids")).mapInArrow(runs, "key long, a long, b long, c long").dropDuplicates(["key"])
-    longer = met.join(tables[1].union(tables[2]), "key", "left_semi").select("a", "b", "c").distinct()
-    spelt = _few(chunks.select("lang", F.lit(b"").alias("ids"), "keys", "words")).mapInArrow(words, "key long, a long, word string").join(tables[0], "key", "left_semi")
-    spelt = cut_lineage(spelt.select("a", "word").distinct())
+    spelt = _few(chunks.select("lang", F.lit(b"").alias("ids"), "keys", "words")).mapInArrow(words, "key long, word string").join(parts, "key", "left_semi")
+    spelt = cut_lineage(spelt.select(F.col("key").alias("a"), "word").distinct())
     none = F.lit(None).cast("long")
     return cut_lineage(longer.union(spelt.select("a", none, none).distinct())), spelt
 
