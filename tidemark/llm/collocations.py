@@ -171,14 +171,21 @@ def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         bitmaps.append(Bitmap.of(tables[-1]))
 
     def new_in(seen, keys):
-        """The keys that a task has not met yet, and the first place of each."""
+        """The keys that a task has not met yet, and the first place of each. ``seen`` holds sorted arrays, each at least twice as long as the next."""
         different, first = np.unique(keys, return_index=True)
-        fresh = ~np.isin(different, seen[0], assume_unique=True)
-        seen[0] = different if len(seen[0]) > 4_000_000 else np.union1d(seen[0], different[fresh])
+        fresh = np.ones(len(different), bool)
+        for part in seen:
+            fresh &= part[np.minimum(np.searchsorted(part, different), len(part) - 1)] != different
+        if fresh.any():
+            seen.append(different[fresh])
+        while len(seen) > 1 and len(seen[-2]) < 2 * len(seen[-1]):
+            seen[-2:] = [np.sort(np.concatenate(seen[-2:]))]
+        if sum(map(len, seen)) > 4_000_000:
+            seen.clear()  # what comes again is sent again
         return different[fresh], first[fresh]
 
     def runs(batches):
-        seen = [[np.zeros(0, np.uint64)] for _ in range(LONGEST)]
+        seen = [[] for _ in range(LONGEST)]
         for chunk in read_chunks(batches):
             for k, (at, keys) in list(enumerate(run_keys(chunk, bitmaps, LONGEST)))[1:]:
                 fresh, first = new_in(seen[k], keys)
@@ -192,7 +199,7 @@ def candidates(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     asked = Bitmap.of(parts)
 
     def words(batches):
-        seen = [np.zeros(0, np.uint64)]
+        seen = []
         for chunk in read_chunks(batches):
             on = np.flatnonzero(asked.has(chunk.keys))
             fresh, first = new_in(seen, chunk.keys[on])
@@ -342,11 +349,13 @@ def phrase_counts(chunks: DataFrame, found: DataFrame, spelt: DataFrame, least:
         symbols = dict(zip(words["word"].to_pylist(), np.searchsorted(keys, words["a"].to_numpy()).tolist(), strict=True))
         columns = [np.where(rows[c].is_null().to_numpy(), -1, np.searchsorted(keys, rows[c].fill_null(0).to_numpy())) for c in "abc"]
         if len(rows):
-            counts = counted(chunks, trie_of(np.stack(columns, 1), symbols), len(rows)).withColumn("shard", F.lit(part).cast("long"))
+            # a shard is counted before the next trie is made, so the driver holds one trie
+            counts = counted(chunks, trie_of(np.stack(columns, 1), symbols), len(rows)).groupBy("number", "lang").agg(F.sum("n").alias("f"))
+            counts = cut_lineage(counts.filter(F.col("f") >= least).withColumn("shard", F.lit(part).cast("long")))
             sums = counts if sums is None else sums.union(counts)
     if sums is None:
         return chunks.select("lang", F.lit("").alias("phrase"), F.lit(0).cast("long").alias("f")).limit(0)
-    total = sums.groupBy("shard", "number", "lang").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).join(runs, ["shard", "number"])
+    total = sums.join(runs, ["shard", "number"])
     for place in "abc":
         total = total.join(spelt.select(F.col("a").alias(place), F.col("word").alias(f"word_{place}")), place, "left")
     return cut_lineage(total.select("lang", F.concat_ws(" ", "word_a", "word_b", "word_c").alias("phrase"), "f"))
