@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rules import first_match
 from tidemark.functions.values import money, share, token_estimate
 from tidemark.operators.analytics import union_tables
-from tidemark.session import cut_lineage
+from tidemark.session import by_rows, cut_lineage
 
 # Limits of the tests and the normal quantile they compare with.
 LEAST_SAMPLE = 100
@@ -279,13 +279,14 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     """Least node id of each connected group, for the nodes that have an edge.
 
     Labels spread to neighbours and from each label's own label, so long chains halve each round; labels
-    only ever fall, so the rounds end when none changes.
+    only ever fall, so the rounds end when none changes. Labels of many nodes are joined by sorting, whatever their files' size.
     """
     links = cut_lineage(
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     )
     labels = cut_lineage(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("grp")))
     while True:
+        labels = by_rows(labels)
         near = links.join(labels.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node")).agg(
             F.min("grp").alias("near")
         )
