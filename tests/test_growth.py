@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import relations
+from tidemark.operators import relations, similarity
 from tidemark.session import MOST_BROADCAST_ROWS, cut_lineage
 
 
@@ -18,3 +18,26 @@ def test_labels_of_many_nodes_are_not_broadcast(spark, monkeypatch):
     found = relations.connected_groups(spark.range(many).select(F.col("id").alias("src"), (F.col("id") - F.col("id") % 1000).alias("dst")))
     assert found.count() == many and found.filter("grp <> node - node % 1000").isEmpty()
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_names_that_are_not_alike_rarely_meet(spark):
+    """Invented names of a few letters share single grams by the thousand; meetings must grow as the names do, not with their square."""
+    met, count = [], 4000
+    for many in (count, 4 * count):
+        left = spark.range(many).select(F.substring(F.md5(F.col("id").cast("string")), 1, 16).alias("name"))
+        right = left.select(F.concat(F.substring("name", 1, 7), F.lit("x"), F.substring("name", 9, 8)).alias("name"))
+        names = left.selectExpr("'l' side", "name").union(right.selectExpr("'r' side", "name"))
+        pairs = similarity.candidate_names(names, 60)[0]
+        met.append(pairs.count())
+    assert met[0] >= count and met[1] < 6 * met[0]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_any_number_of_grams_in_a_key_gives_the_same_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(similarity, "MOST_GRAMS", most)
+    names = ["anna", "anne", "hanna", "a", "", "x", "annabelle smith", "annabele smith", "anabelle smith", "bob"]
+    rows = spark.createDataFrame([(s, n) for s in "lr" for n in names], "side string, name string")
+    got = {(r.l, r.r): r.similarity for r in similarity.similar_names(rows, 50).collect()}
+    sets = {n: {f"##{n}##"[k : k + 3] for k in range(len(n) + 2)} for n in names}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in names for b in names}
+    assert got == {pair: share for pair, share in want.items() if share >= 0.5}
