@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import positions
+from tidemark.session import spread
 
 # --- three sources of customer fields -------------------------------------------------------
 
@@ -28,7 +29,7 @@ FROM (SELECT c_custkey, f, s,
 
 
 def sources(t) -> DataFrame:
-    cells = t.customer.select(
+    cells = spread(t.customer).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f")
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("s"))
     return cells.selectExpr(
