@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match
 from tidemark.functions.values import share
+from tidemark.session import spread
 
 # Abbreviations, words of split names, scores and bands.
 ABBREVIATIONS = {
@@ -253,8 +254,11 @@ def change_summary(changes: DataFrame) -> DataFrame:
 
 
 def schema_versions(versions: DataFrame, newest: int) -> DataFrame:
-    """History of each column over versions: first and last version, types, compatible additions."""
-    history = versions.groupBy("table_id", "name").agg(
+    """History of each column over versions: first and last version, types, compatible additions.
+
+    Hardly any rows share a column, so they are dealt by column once, and a task counts the types of its own columns only.
+    """
+    history = spread(versions, "table_id", "name").groupBy("table_id", "name").agg(
         F.min("version").alias("first_version"),
         F.max("version").alias("last_version"),
         F.count_distinct("type").alias("types"),

@@ -204,7 +204,7 @@ UNION ALL SELECT p_partkey, p_type || '_' || p_size, 'string' FROM part WHERE p_
 def _columns(t, listed: list[tuple], last) -> DataFrame:
     options = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(ty).alias("type"), F.lit(r).alias("rule")) for n, ty, r in listed])
     own = F.array(F.struct(F.expr("concat(p_type, '_', p_size)").alias("name"), F.lit("string").alias("type"), F.lit(last).alias("rule")))
-    rows = t.part.select("p_partkey", F.explode(F.concat(options, own)).alias("c")).select(
+    rows = spread(t.part.select("p_partkey", "p_type", "p_size")).select("p_partkey", F.explode(F.concat(options, own)).alias("c")).select(
         F.col("p_partkey").alias("table_id"), "c.*"
     )
     kept = "rule = 0 OR (rule = 1 AND table_id % 2 = 0) OR (rule = 2 AND table_id % 2 = 1) OR (rule = 3 AND table_id % 3 > 0)"
