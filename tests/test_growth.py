@@ -1,9 +1,13 @@
 """What must not grow with the input: broadcasts, rows of one task, pairs that are compared."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import relations, similarity
+from tidemark.plans import fixtures
+from tidemark.plans import pii as pii_plans
 from tidemark.session import MOST_BROADCAST_ROWS, cut_lineage
 
 
@@ -41,3 +45,14 @@ def test_any_number_of_grams_in_a_key_gives_the_same_pairs(spark, monkeypatch, m
     sets = {n: {f"##{n}##"[k : k + 3] for k in range(len(n) + 2)} for n in names}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in names for b in names}
     assert got == {pair: share for pair, share in want.items() if share >= 0.5}
+
+
+@pytest.mark.parametrize("made", [fixtures.sources, pii_plans.contacts, fixtures.old_columns, fixtures.new_columns])
+def test_rows_that_become_many_are_dealt_to_all_tasks_first(spark, made):
+    """One task reads a small file, but may not alone make and sort all that comes of it; rows may repeat and keys be null."""
+    keys = [None, None, *range(200), 7, 7]
+    customer = spark.createDataFrame([(k, f"n{k}", 1, "x") for k in keys], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").coalesce(1)
+    part = spark.createDataFrame([(k, f"t{k}", 3) for k in keys], "p_partkey long, p_type string, p_size int").coalesce(1)
+    rows = made(SimpleNamespace(customer=customer, part=part))
+    share = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count") / F.sum("count")).first()[0]
+    assert share < 0.5

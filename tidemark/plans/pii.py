@@ -9,6 +9,7 @@ from tidemark.operators import pii as p
 from tidemark.plans.analytics import confusion_sql
 from tidemark.plans.fixtures import NEW_COLUMNS, OLD_COLUMNS, new_columns, old_columns
 from tidemark.plans.registry import query
+from tidemark.session import spread
 from tidemark.sources.files import column_sample
 
 AS_OF = "2024-06-01"
@@ -31,7 +32,7 @@ CONTACT_TRUTH = {
 
 
 def contacts(t):
-    return t.customer.selectExpr(
+    return spread(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")).selectExpr(
         "c_custkey",
         "CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'none' ELSE concat('user', c_custkey, '@example.com') END AS email",
         "concat('555-', lpad(cast(c_custkey % 1000 AS string), 3, '0'), '-', lpad(cast(c_custkey * 7 % 10000 AS string), 4, '0')) AS contact",
