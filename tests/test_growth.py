@@ -2,13 +2,17 @@
 
 from types import SimpleNamespace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import relations, similarity
 from tidemark.plans import fixtures
 from tidemark.plans import pii as pii_plans
 from tidemark.session import MOST_BROADCAST_ROWS, cut_lineage
+from tidemark.sources import ledger
 
 
 def plan(df) -> str:
@@ -56,3 +60,14 @@ def test_rows_that_become_many_are_dealt_to_all_tasks_first(spark, made):
     rows = made(SimpleNamespace(customer=customer, part=part))
     share = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count") / F.sum("count")).first()[0]
     assert share < 0.5
+
+
+def test_a_task_reads_a_footer_once(tmp_path, monkeypatch):
+    """A footer grows with its file; read for every row group it made a stream's work grow with the square of the file."""
+    for name in ("a", "b"):
+        pq.write_table(pa.table({"id": list(range(40))}), f"{tmp_path}/{name}.parquet", row_group_size=4)
+    reader = ledger.LedgerReader(T.StructType([T.StructField("id", T.LongType())]), {"path": str(tmp_path), "ledger": f"{tmp_path}/ledger"})
+    opened, file = [], pq.ParquetFile
+    monkeypatch.setattr(ledger.pq, "ParquetFile", lambda source: opened.append(source) or file(source))
+    found = [i for batch in reader.read(ledger.Groups([(n, g) for n in ("a.parquet", "b.parquet") for g in range(10)])) for i in batch.column(0).to_pylist()]
+    assert sorted(found) == sorted([*range(40)] * 2) and len(opened) == 2
