@@ -160,3 +160,69 @@ def test_families_joined_by_one_text(spark):
     texts = [*(substituted(draw, base, 3) for _ in range(8)), base, *(substituted(draw, far, 3) for _ in range(8)), far, bridge]
     rows = [(k, " ".join(words), None, None) for k, words in enumerate(texts)]
     assert {r.class_id for r in n.mark_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
+
+
+def test_two_members_that_lead_no_bucket_are_linked(spark):
+    # two families of near copies share a passage; only one member of each is similar to one of the other
+    draw = random.Random(11)
+    links = 0
+    for seed in range(6):
+        base = [f"w{draw.randint(0, 100_000)}" for _ in range(100)]
+        far = substituted(draw, base, 44)
+        changed = [k for k in range(100) if base[k] != far[k]]
+        one = [far[k] if k in changed[:13] else w for k, w in enumerate(base)]
+        two = [far[k] if k in changed[:31] else w for k, w in enumerate(base)]
+        texts = [base, *(substituted(draw, base, 2) for _ in range(20)), far, *(substituted(draw, far, 2) for _ in range(20)), one, two]
+        rows = [(k, " ".join(words), None, None) for k, words in enumerate(texts)]
+        links += {r.class_id for r in n.mark_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
+    assert links == 6
+
+
+def test_blocks_give_every_fitting_pair(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 5)
+    monkeypatch.setattr(n, "PAIRS_AT_ONCE", 7)
+    draw = random.Random(12)
+    members = [(b, k + 100 * b, draw.randint(0, 30), draw.randint(0, 3)) for b in range(4) for k in range((2, 5, 17, 23)[b])]
+    bins = {k: bytes(draw.randint(0, 1) if j < 8 else 0 for j in range(n.BINS)) for _, k, _, _ in members}
+    shared = spark.createDataFrame([m[:3] for m in members], "bucket long, node long, n_words long")
+    joined = spark.createDataFrame([(m[1], m[3]) for m in members], "node long, component long")
+    blocks = n._blocks(shared, spark.createDataFrame(list(bins.items()), "node long, bins binary"), joined)
+    want = set()
+    for b, k, size, group in members:
+        for c, j, other, part in members:
+            if b == c and k < j and group != part and min(size, other) >= 0.8 * max(size, other) - 1e-9:
+                common = sum(map(min, bins[k], bins[j]))
+                if max(sum(bins[k]), sum(bins[j])) - common <= 0.2 * max(size, other) + 1e-9:
+                    want.add((k, j))
+    every = n._pairs_of_blocks(blocks, 0.8, 1000).collect()
+    assert sorted(r[:2] for r in every) == sorted(want) and not any(r.more for r in every) and len(want) > 20
+    few = n._pairs_of_blocks(blocks, 0.8, 1).collect()
+    assert {r[:2] for r in few} < want and any(r.more for r in few)
+
+
+def test_pairs_left_out_at_first_are_passed_again(spark, monkeypatch):
+    draw = random.Random(13)
+    base = [f"w{draw.randint(0, 100_000)}" for _ in range(60)]
+    shuffled = []
+    for _ in range(12):  # equal word counts, so only the alignment tells them apart
+        words = base[20:]
+        draw.shuffle(words)
+        shuffled.append(base[:20] + words)
+    texts = [*shuffled, *(substituted(draw, t, 2) for t in shuffled)]
+    monkeypatch.setattr(n, "FIRST_SKETCHES", 0)
+    monkeypatch.setattr(n, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(n, "MORE_PAIRS", 2)
+    rows = [(k, " ".join(words), None, None) for k, words in enumerate(texts)]
+    assert {r.doc_id: r.class_id for r in n.mark_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == {k: k % 12 for k in range(24)}
+
+
+def test_bound_by_runs_is_sound():
+    draw = random.Random(14)
+    for _ in range(2000):
+        a = [draw.randint(0, 5) for _ in range(draw.randint(0, 40))]
+        b = list(a)
+        for _ in range(draw.randint(0, 8)):
+            at = draw.randint(0, len(b))
+            draw.choice([lambda: b.insert(at, draw.randint(0, 5)), lambda: b.pop(at) if at < len(b) else None, lambda: b.__setitem__(at, 9) if at < len(b) else None])()
+        one, two = (mixed(np.array(x, np.uint64)) for x in (a, b))
+        assert n.enough_runs(one, two, plain_distance(a, b))

@@ -10,22 +10,20 @@ edit similarity rather than overlap alone. Two texts are linked if their edit si
 ``1 - distance / words of the longer``, is at least ``similarity``; the distance is found in a band around the
 diagonal no wider than that allows.
 
-Equal texts are worked once. Texts that agree on a sketch form a bucket, and pairs grow with the members of a bucket, not
-with their square. A first pass takes ``FIRST_SKETCHES`` sketches and compares the members of a bucket with its first
-one (its leader); connected components of the links found so far join most copies of large groups. The second pass takes all
-sketches and compares members with up to ``LEADERS`` leaders of other components, for a pair inside a component can add
-nothing. Buckets are parted by length classes of which two texts that can be similar share one. In buckets with more components
-than that, members linked to a leader are done; the others stay in play: their bucket is split once, by every later sketch
-(which parts texts that share a passage and little else), with up to ``MORE_LEADERS`` leaders, and further rounds take
-four times as many, until no bucket holds components that have not met. A cheap sound bound (word counts in ``BINS`` bins) keeps clearly different pairs from the alignment. Classes
-are the connected components of all links.
+Equal texts are worked once. Texts that agree on a sketch form a bucket. Only members with another one of a fitting length next to them in
+the order of lengths stay in it. A first pass takes ``FIRST_SKETCHES`` sketches and compares the members of a bucket with its first
+one (its leader), so pairs grow with the members; connected components of the links found so far join most copies of large groups. The
+second pass takes all sketches and every pair of members of different components whose lengths fit, for a pair inside a component can add
+nothing. These pairs are no rows: a bucket is cut into blocks of ``BLOCK`` members by length, and a task passes two blocks at a time
+through a cheap sound bound (word counts in ``BINS`` bins). What it leaves is aligned, at first ``FIRST_PAIRS`` pairs of a text in a block;
+if there were more, components are joined and the rest is passed again with ``MORE_PAIRS`` times as many, until none is left out. Before the alignment a second sound bound (runs of two and
+three words, of which an edit touches at most as many) rejects most other pairs. Classes are the connected components of all links.
 
 Limits: two texts without a common sketch are not compared. At the threshold, edits that lie apart leave a share of 0.6 of the runs,
 an overlap of 0.6 / 1.4 = 0.43, and order aside two k-mers of a sketch agree with 0.43 squared, so all 48 sketches miss such a pair with a
 probability of about 6e-5; edits that lie together leave more. Single words of a pair at the threshold overlap by 0.67: about 1e-12.
-Members of a split bucket that are linked to no leader meet again only if a second sketch agrees: 6e-4 at the threshold.
-In a bucket two components are compared through the member with the least node of each (all members of one with that of the other), and
-members linked to a leader leave the buckets that are split; a link between two other members is found only if they lead another bucket.
+All texts that do share a sketch are compared or are in one component. In a bucket of many different texts with a common passage the
+bound is taken for each pair of fitting lengths, so this part of the time grows with the square of such a bucket; memory does not.
 
 Defined cases: a null text counts as empty; texts without words are one class; null ids come last when a class is named; of repeated rows with the least id one is kept;
 an empty table gives no rows; other columns are not looked at.
@@ -34,7 +32,6 @@ an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +41,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import in_batches, small
 from tidemark.llm.components import components
 from tidemark.llm.words import chunks, mixed, run_hashes, words_of
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, spread
 
 #: Texts of fewer than ``SHORT`` times ``run`` words are sketched by single words.
 SHORT = 10
@@ -53,7 +50,9 @@ SKETCHES = 48
 PICK = 2
 BINS = 256
 FIRST_SKETCHES = 8
-LEADERS, MORE_LEADERS = 16, 256
+#: Members of a bucket that a task holds twice at most, pairs it forms at once, and aligned pairs of a text in a block, at first and times as many later.
+BLOCK, PAIRS_AT_ONCE = 4096, 20_000
+FIRST_PAIRS, MORE_PAIRS = 8, 16
 SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -209,6 +208,18 @@ def _screen(pairs: DataFrame, similarity: float) -> DataFrame:
     return in_batches(pairs, work, "node long, leader long")
 
 
+def enough_runs(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether so many runs of two and three words are in both that ``most`` edits can explain the rest; an edit touches at most as many runs as a run has words."""
+    for length in (2, 3):
+        needed = max(len(a), len(b)) - length + 1 - length * most
+        if needed > 0:
+            one, two = np.sort(run_hashes(a, length)), np.sort(run_hashes(b, length))
+            values, counts = np.unique(one, return_counts=True)
+            if np.minimum(counts, np.searchsorted(two, values, "right") - np.searchsorted(two, values, "left")).sum() < needed:
+                return False
+    return True
+
+
 def _align(pairs: DataFrame, similarity: float) -> DataFrame:
     def work(batches):
         for batch in batches:
@@ -221,15 +232,99 @@ def _align(pairs: DataFrame, similarity: float) -> DataFrame:
                     a = left.hashes[left.first[k] : left.first[k + 1]]
                     b = right.hashes[right.first[k] : right.first[k + 1]]
                     most = most_edits(len(a), len(b), similarity)
-                    if banded_distance(a, b, most) <= most:
+                    if enough_runs(a, b, most) and banded_distance(a, b, most) <= most:
                         kept.append(part.start + k)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.int64()) for x in (node, leader)], names=["node", "leader"])
 
     return in_batches(pairs, work, "node long, leader long")
 
 
+def fitting_pairs(rows: pa.Table, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows (their places) whose lengths and word counts allow the similarity, and whether some were left out.
+
+    ``rows`` has whole groups ``bucket, one, two``, each in the order of ``block, n_words``. In a group of one block the pairs are any two rows, in
+    a group of two blocks a row of each; both rows are of different components. A row has at most ``most`` pairs with rows behind it.
+    """
+    bucket, one, two, block, words, component = (rows.column(x).to_numpy() for x in ("bucket", "one", "two", "block", "n_words", "component"))
+    bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    size, n = bins.sum(axis=1, dtype=np.int64), len(words)
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    group = np.cumsum(new) - 1
+    # the first row to meet is the next one, or the first of the other block; the last is told by length
+    other = np.append(True, new[1:] | (block[1:] != block[:-1]))
+    side = np.cumsum(other) - 1
+    start = np.where(one == two, np.arange(n) + 1, np.searchsorted(side, side, "right"))
+    step = np.int64(words.max(initial=0) / similarity) + 2
+    reach = np.searchsorted(group * step + words, group * step + np.minimum((words / similarity + 1e-9).astype(np.int64), step - 1), "right")
+    count = np.where((one == two) | (block == one), np.maximum(reach - start, 0), 0)
+    found, left_out, at = [], False, 0
+    ends = np.cumsum(count)
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        own = count[at:stop]
+        a = np.repeat(np.arange(at, stop), own)
+        b = np.repeat(start[at:stop] - np.append(0, np.cumsum(own)[:-1]), own) + np.arange(len(a))
+        stay = component[a] != component[b]
+        a, b = a[stay], b[stay]
+        # counts above 255 stand as 255, which can only make two texts look more alike
+        common = np.minimum(bins[a], bins[b]).sum(axis=1, dtype=np.int64)
+        stay = np.maximum(size[a], size[b]) - common <= (1 - similarity) * np.maximum(words[a], words[b]) + 1e-9
+        a, b = a[stay], b[stay]
+        number = np.arange(len(a)) - np.searchsorted(a, a)
+        left_out |= bool((number >= most).any())
+        found.append((a[number < most], b[number < most]))
+        at = stop
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return a, b, left_out
+
+
+def _whole_groups(batches, columns: list[str]):
+    """Tables of whole groups, of about ``BATCH_ROWS`` rows or one larger group, from rows sorted by ``columns``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(x).to_numpy() for x in columns]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        if held and any(held[-1].column(x)[-1].as_py() != batch.column(x)[0].as_py() for x in columns):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            last = int(new[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of_blocks(rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``node, leader, more`` of all fitting pairs of different components in the buckets; ``more``: whether some of the block were left out."""
+
+    def work(batches):
+        for table in _whole_groups(batches, ["bucket", "one", "two"]):
+            a, b, left_out = fitting_pairs(table, similarity, most)
+            node = table.column("node").to_numpy()
+            least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(greatest), pa.array(np.full(len(a), left_out))], names=["node", "leader", "more"])
+
+    return in_batches(rows, work, "node long, leader long, more boolean")
+
+
+def _blocks(shared: DataFrame, bins: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """The members of buckets that hold several components, once for every two blocks of a bucket that they take part in."""
+    whole, order = Window.partitionBy("bucket"), Window.partitionBy("bucket").orderBy("n_words", "node")
+    several = F.min("component").over(whole) < F.max("component").over(whole)
+    rows = _with_component(shared.select("bucket", "node", "n_words"), joined).withColumn("several", several)
+    rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("members", F.count(F.lit(1)).over(whole)).filter("several")
+    block, last = F.floor(F.col("place") / BLOCK), F.floor((F.col("members") - 1) / BLOCK)
+    rows = rows.select("bucket", "node", "n_words", "component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("with"))
+    rows = rows.select("bucket", "node", "n_words", "component", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two")).join(bins, "node")
+    return spread(rows, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "block", "n_words")
+
+
 def find_links(keyed: DataFrame, similarity: float, run: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """The different texts (``node, key, doc_id, copies, ...``), the verified links (``node, leader``) between them, and the
+    """The different texts (``node, key, doc_id, copies, ...``), verified links (``node, leader``) that join all similar ones among them, and the
     component of every text that has a link (None if there are no links).
 
     ``keyed`` has ``key, doc_id, text``; rows with equal keys have equal texts.
@@ -238,57 +333,35 @@ def find_links(keyed: DataFrame, similarity: float, run: int | None = None) -> t
     grouped = _survey(keyed, run or run_for(similarity), similarity).groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"))
     nodes = cut_lineage(grouped.select(F.monotonically_increasing_id().alias("node"), "key", "copies", "r.doc_id", "r.n_words", "r.bins", "r.sketches"))
     bins = small(nodes.select("node", "bins"))
-    links, tested, joined, stale, found = [], [], None, False, nodes.select("node", F.col("node").alias("leader")).limit(0)
-    labelled_nodes = nodes.select("node", "n_words", "sketches", F.col("node").alias("component"))
-    first = F.slice("sketches", 1, FIRST_SKETCHES)
-    keys, leaders = labelled_nodes.select("node", "n_words", "component", F.posexplode(first).alias("slot", "bucket")), 1
-    for turn in count():
-        spread = keys.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("bucket")
-        # two texts whose lengths allow the similarity share a length class, so a bucket parts by length without loss
-        level = F.floor(F.log(F.greatest("n_words", F.lit(1))) / -np.log(similarity) + 1e-9)
-        parted = cut_lineage(keys.join(spread, "bucket").withColumn("bucket", F.explode(F.array(F.xxhash64("bucket", level), F.xxhash64("bucket", level + 1)))))
-        spread = parted.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("bucket")
-        shared = cut_lineage(parted.join(spread, "bucket"))
-        heads = shared.groupBy("bucket", "component").agg(F.min(F.struct("node", "n_words")).alias("lead"))
-        order = Window.partitionBy("bucket").orderBy("lead")
-        leads = cut_lineage(heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders + 1))
-        ahead = leads.filter(F.col("place") <= leaders).select(
-            "bucket", F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("leader_words"), F.col("component").alias("leader_component")
-        )
-        close = F.least("n_words", "leader_words") >= similarity * F.greatest("n_words", "leader_words") - 1e-9
-        met = shared.join(small(ahead), (shared["bucket"] == ahead["bucket"]) & (F.col("component") != F.col("leader_component")) & close).drop(ahead["bucket"])
-        swap = F.col("node") < F.col("leader")
-        ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (
-            ("leader", "node", "node"), ("node", "leader", "leader"), ("leader_words", "n_words", "n_words"), ("n_words", "leader_words", "leader_words"))]
-        new = met.select(*ends).distinct()
-        for earlier in tested:
-            new = new.join(small(earlier), ["node", "leader"], "left_anti")
-        both = new.join(bins, "node").join(bins.select(F.col("node").alias("leader"), F.col("bins").alias("leader_bins")), "leader")
-        candidates = cut_lineage(_screen(both.select("node", "leader", "n_words", "leader_words", "bins", "leader_bins"), similarity))
+    links, tested, joined = [], [], None
+    keys = nodes.select("node", "n_words", F.posexplode("sketches").alias("slot", "bucket"))
+    # in the order of lengths a text that fits any other in its bucket fits the one before or after it
+    order = Window.partitionBy("bucket").orderBy("n_words", "node")
+    before, after = (f("n_words").over(order) for f in (F.lag, F.lead))
+    lone = ~F.coalesce(before >= similarity * F.col("n_words") - 1e-9, F.lit(False)) & ~F.coalesce(similarity * after <= F.col("n_words") + 1e-9, F.lit(False))
+    lead = F.min(F.struct("node", "n_words")).over(Window.partitionBy("bucket"))
+    shared = cut_lineage(keys.select("*", lone.alias("lone"), lead.alias("lead")).filter("NOT lone").drop("lone"))
+    ends = F.least("node", "lead.node").alias("node"), F.greatest("node", "lead.node").alias("leader")
+    close = F.least("n_words", "lead.n_words") >= similarity * F.greatest("n_words", "lead.n_words") - 1e-9
+    first = shared.filter((F.col("slot") < FIRST_SKETCHES) & (F.col("node") != F.col("lead.node")) & close)
+    words = [F.when(F.col("node") < F.col("lead.node"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (
+        ("n_words", "lead.n_words", "n_words"), ("lead.n_words", "n_words", "leader_words"))]
+    both = first.select(*ends, *words).distinct().join(bins, "node").join(bins.select(F.col("node").alias("leader"), F.col("bins").alias("leader_bins")), "leader")
+    candidates, more, most = cut_lineage(_screen(both.select("node", "leader", "n_words", "leader_words", "bins", "leader_bins"), similarity)), True, FIRST_PAIRS
+    while True:
         if candidates.limit(1).count():
             tested.append(candidates)
-            links.append(_verify(keyed, nodes, candidates, similarity))
-            found, stale = reduce(DataFrame.unionByName, links), True
-        crowded = leads.filter(F.col("place") > leaders).select("bucket")
-        if stale:
-            joined, stale = small(joined_by(nodes, joined, links[-1])), False
-        if turn and not crowded.limit(1).count():
+            links.append(_verify(keyed, nodes, tested[-1], similarity))
+            joined = small(joined_by(nodes, joined, links[-1]))
+        if not more:
+            found = reduce(DataFrame.unionByName, links) if links else nodes.select("node", F.col("node").alias("leader")).limit(0)
             return nodes, found, joined
-        if turn == 0:
-            known = labelled_nodes.drop("component")
-            keys, leaders = _with_component(known, joined).select("node", "n_words", "component", F.posexplode("sketches").alias("slot", "bucket")), LEADERS
-            continue
-        # members that are neither leaders nor linked to one
-        large = shared.join(small(crowded), "bucket").select("bucket", "slot", "node", "n_words")
-        sides = found.unionByName(found.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
-        linked = large.join(ahead.select("bucket", "leader"), "bucket").join(sides, ["node", "leader"], "left_semi").select("bucket", "node")
-        done = ahead.select("bucket", F.col("leader").alias("node")).unionByName(linked).distinct()
-        left = large.join(done, ["bucket", "node"], "left_anti")
-        if turn == 1:
-            left, leaders = _split(left, nodes), MORE_LEADERS
-        else:
-            leaders *= 4
-        keys = cut_lineage(_with_component(left, joined))
+        new = cut_lineage(_pairs_of_blocks(_blocks(shared, bins, joined), similarity, most).groupBy("node", "leader").agg(F.max("more").alias("more")))
+        more, most = bool(new.filter("more").limit(1).count()), most * MORE_PAIRS
+        candidates = new.select("node", "leader")
+        for earlier in tested:
+            candidates = candidates.join(small(earlier), ["node", "leader"], "left_anti")
+        candidates = cut_lineage(candidates)
 
 
 def joined_by(nodes: DataFrame, joined: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -307,14 +380,6 @@ def _with_component(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     return rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _split(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each bucket cut by every later sketch."""
-    later = F.sequence(F.col("slot") + 1, F.size("sketches"))
-    each = keys.join(nodes.select("node", "sketches"), "node").select("bucket", "node", "n_words", "sketches", F.explode(later).alias("next"))
-    each = each.filter(F.col("next") < F.size("sketches"))
-    return each.select("node", "n_words", F.col("next").alias("slot"), F.xxhash64("bucket", F.element_at("sketches", F.col("next") + 1)).alias("bucket"))
-
-
 def _verify(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
     """The candidates whose alignment reaches the similarity. Only texts of candidates are read into the join."""
     needed = candidates.select("node").union(candidates.select("leader")).distinct().join(nodes.select("node", "key", F.col("doc_id").alias("one")), "node")
