@@ -318,8 +318,10 @@ def _blocks(shared: DataFrame, bins: DataFrame, joined: DataFrame | None) -> Dat
     rows = _with_component(shared.select("bucket", "node", "n_words"), joined).withColumn("several", several)
     rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("members", F.count(F.lit(1)).over(whole)).filter("several")
     block, last = F.floor(F.col("place") / BLOCK), F.floor((F.col("members") - 1) / BLOCK)
-    rows = rows.select("bucket", "node", "n_words", "component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("with"))
-    rows = rows.select("bucket", "node", "n_words", "component", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two")).join(bins, "node")
+    rows = rows.select("bucket", "node", "n_words", "component", block.alias("block"), last.alias("last"))
+    alone = rows.filter("last = 0").select("bucket", "node", "n_words", "component", "block", F.col("block").alias("with"))
+    parted = rows.filter("last > 0").select("bucket", "node", "n_words", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("with"))
+    rows = alone.unionByName(parted).select("bucket", "node", "n_words", "component", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two")).join(bins, "node")
     return spread(rows, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "block", "n_words")
 
 
