@@ -226,3 +226,52 @@ def test_bound_by_runs_is_sound():
             draw.choice([lambda: b.insert(at, draw.randint(0, 5)), lambda: b.pop(at) if at < len(b) else None, lambda: b.__setitem__(at, 9) if at < len(b) else None])()
         one, two = (mixed(np.array(x, np.uint64)) for x in (a, b))
         assert n.enough_runs(one, two, plain_distance(a, b))
+
+
+def counts(words):
+    hashes = n.words_of([" ".join(map(str, words)).encode()]).hashes
+    return n.counts_of(n.pa.array([n.binned(hashes) + n.finely_binned(hashes)]))
+
+
+def test_bound_by_counts_is_sound():
+    draw, zero = random.Random(15), np.zeros(1, np.int64)
+    for _ in range(2000):
+        a = [draw.randint(0, 5) for _ in range(draw.randint(0, 40))]
+        b = list(a)
+        for _ in range(draw.randint(0, 8)):
+            at = draw.randint(0, len(b))
+            draw.choice([lambda: b.insert(at, draw.randint(0, 5)), lambda: b.pop(at) if at < len(b) else None, lambda: b.__setitem__(at, 9) if at < len(b) else None])()
+        assert n.near_enough(counts(a), counts(b), zero, zero, np.array([plain_distance(a, b)])).all()
+    # a passage of three quarters and other words: the coarse bins alone leave such pairs
+    for k in range(20):
+        base = [f"w{draw.randint(0, 10**6)}" for _ in range(600)]
+        one, two = (counts(base + [f"{x}{k}x{j}" for j in range(200)]) for x in "uv")
+        edits = np.array([160])
+        assert n.near_enough(one[:1], two[:1], zero, zero, edits).all() and not n.near_enough(one, two, zero, zero, edits).any()
+
+
+def test_only_buckets_that_left_pairs_out_are_passed_again(spark, monkeypatch):
+    draw = random.Random(16)
+    parts = [[f"w{draw.randint(0, 100_000)}" for _ in range(15)] for _ in range(4)]
+    orders = [draw.sample(range(4), 4) for _ in range(40)]
+    moved = [sum((parts[k] for k in o), []) for o in dict.fromkeys(map(tuple, orders))][:12]  # equal words and nearly equal runs, so only the alignment tells them apart
+    shared = [f"v{k}" for k in range(40)]
+    other = [[*shared[:20], *(f"u{j}x{k}" for k in range(40))] for j in range(12)]  # a common passage, told apart at once
+    texts = [*moved, *other, *(substituted(draw, t, 2) for t in moved)]
+    monkeypatch.setattr(n, "FIRST_SKETCHES", 0)
+    monkeypatch.setattr(n, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(n, "MORE_PAIRS", 2)
+    passed, blocks = [], n._blocks
+    monkeypatch.setattr(n, "_blocks", lambda shared, *rest: passed.append(shared.select("bucket").distinct().count()) or blocks(shared, *rest))
+    rows = [(k, " ".join(words), None, None) for k, words in enumerate(texts)]
+    assert {r.doc_id: r.class_id for r in n.mark_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == {k: k if k < 24 else k - 24 for k in range(36)}
+    assert len(passed) > 2 and passed == sorted(passed, reverse=True) and passed[1] < passed[0]
+
+
+def test_a_bucket_that_left_pairs_out_is_named_once(spark):
+    rows = [(b, k + 100 * b, 50, k + 100 * b) for b in range(3) for k in range((20, 2, 30)[b])]
+    shared = spark.createDataFrame([r[:3] for r in rows], "bucket long, node long, n_words long")
+    bins = spark.createDataFrame([(r[1], bytes([50] + [0] * (n.BINS - 1))) for r in rows], "node long, bins binary")
+    got = n._pairs_of_blocks(n._blocks(shared, bins, None), 0.8, 4).collect()
+    assert sorted(r.bucket for r in got if r.bucket is not None) == [0, 2]
+    assert {r.node // 100 for r in got if not r.more} == {1}

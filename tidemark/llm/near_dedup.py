@@ -15,9 +15,10 @@ the order of lengths stay in it. A first pass takes ``FIRST_SKETCHES`` sketches
 one (its leader), so pairs grow with the members; connected components of the links found so far join most copies of large groups. The
 second pass takes all sketches and every pair of members of different components whose lengths fit, for a pair inside a component can add
 nothing. These pairs are no rows: a bucket is cut into blocks of ``BLOCK`` members by length, and a task passes two blocks at a time
-through a cheap sound bound (word counts in ``BINS`` bins). What it leaves is aligned, at first ``FIRST_PAIRS`` pairs of a text in a block;
-if there were more, components are joined and the rest is passed again with ``MORE_PAIRS`` times as many, until none is left out. Before the alignment a second sound bound (runs of two and
-three words, of which an edit touches at most as many) rejects most other pairs. Classes are the connected components of all links.
+through a cheap sound bound (word counts in ``BINS`` bins). What it leaves is aligned, at first ``FIRST_PAIRS`` pairs of a text in a block; if there were more, components are
+joined and the buckets that left some out are passed again with ``MORE_PAIRS`` times as many, until none is left out. These buckets hold many texts that are nearly similar, so in them
+the bound is taken in ``FINE`` bins too. Before the alignment a last sound bound (all words and runs of two and three, of which an edit touches at most as many) rejects most other pairs.
+Classes are the connected components of all links.
 
 Limits: two texts without a common sketch are not compared. At the threshold, edits that lie apart leave a share of 0.6 of the runs,
 an overlap of 0.6 / 1.4 = 0.43, and order aside two k-mers of a sketch agree with 0.43 squared, so all 48 sketches miss such a pair with a
@@ -49,6 +50,8 @@ SIMILARITY = 0.8
 SKETCHES = 48
 PICK = 2
 BINS = 256
+#: Bins of four bits for texts of buckets that are passed again.
+FINE = 2048
 FIRST_SKETCHES = 8
 #: Members of a bucket that a task holds twice at most, pairs it forms at once, and aligned pairs of a text in a block, at first and times as many later.
 BLOCK, PAIRS_AT_ONCE = 4096, 20_000
@@ -103,6 +106,17 @@ def sketches_of(hashes: np.ndarray, run: int, similarity: float) -> np.ndarray:
     return np.concatenate(made)
 
 
+def binned(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of ``BINS`` bins, at most 255."""
+    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def finely_binned(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of ``FINE`` bins, at most 15; two bins a byte."""
+    counts = np.minimum(np.bincount((hashes // np.uint64(BINS) % np.uint64(FINE)).astype(np.int64), minlength=FINE), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
 def _survey(texts: DataFrame, run: int, similarity: float) -> DataFrame:
     def work(batches):
         for batch in batches:
@@ -113,7 +127,7 @@ def _survey(texts: DataFrame, run: int, similarity: float) -> DataFrame:
                 for k in range(part.stop - part.start):
                     own = words.hashes[int(words.first[k]) : int(words.first[k + 1])]
                     counts.append(len(own))
-                    bins.append(np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                    bins.append(binned(own))
                     sketches.append(sketches_of(own, run, similarity).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
@@ -193,24 +207,49 @@ def _full_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(int(row[-1]), most + 1)
 
 
+def counts_of(bins) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The binned counts of words and, if there, the fine ones, a row for each text; their sums; and the mask of a count."""
+    values = bins.to_pylist()
+    every = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), len(values[0]) if values else BINS)
+    parts = [(every[:, :BINS], 255)] + [(every[:, BINS:], 15)] * (every.shape[1] > BINS)
+    return [(part, _added(part, mask), mask) for part, mask in parts]
+
+
+def _added(counts: np.ndarray, mask: int) -> np.ndarray:
+    if mask == 255:
+        return counts.sum(axis=1, dtype=np.int64)
+    return (counts & 15).sum(axis=1, dtype=np.int64) + (counts >> 4).sum(axis=1, dtype=np.int64)
+
+
+def near_enough(one, two, a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether so many edits can turn the counts of rows ``a`` of ``one`` into those of rows ``b`` of ``two``."""
+    stay = np.ones(len(a), bool)
+    for (left, size, mask), (right, other, _) in zip(one, two, strict=True):
+        passed = np.flatnonzero(stay)
+        for on in np.array_split(passed, len(passed) * left.shape[1] // 5_000_000 + 1):
+            x, y = left[a[on]], right[b[on]]
+            # counts above the greatest one stand as that, which can only make two texts look more alike
+            common = _added(np.minimum(x, y), mask) if mask == 255 else np.minimum(x & 15, y & 15).sum(axis=1, dtype=np.int64) + np.minimum(x >> 4, y >> 4).sum(axis=1, dtype=np.int64)
+            stay[on] = np.maximum(size[a[on]], other[b[on]]) - common <= edits[on]
+    return stay
+
+
 def _screen(pairs: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose lengths and word counts allow the similarity."""
 
     def work(batches):
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            # counts above 255 stand as 255, which can only make two texts look more alike
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
-            extra = np.maximum(np.maximum(one - two, 0).sum(axis=1), np.maximum(two - one, 0).sum(axis=1))
-            stay = extra <= (1 - similarity) * np.maximum(n, m) + 1e-9
+            one, two = (counts_of(batch.column(k)) for k in (4, 5))
+            stay = near_enough(one, two, np.arange(len(n)), np.arange(len(n)), (1 - similarity) * np.maximum(n, m) + 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "leader"]).filter(pa.array(stay))
 
     return in_batches(pairs, work, "node long, leader long")
 
 
 def enough_runs(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether so many runs of two and three words are in both that ``most`` edits can explain the rest; an edit touches at most as many runs as a run has words."""
-    for length in (2, 3):
+    """Whether so many words and runs of two and three words are in both that ``most`` edits can explain the rest; an edit touches at most as many runs as a run has words."""
+    for length in (1, 2, 3):
         needed = max(len(a), len(b)) - length + 1 - length * most
         if needed > 0:
             one, two = np.sort(run_hashes(a, length)), np.sort(run_hashes(b, length))
@@ -239,15 +278,14 @@ def _align(pairs: DataFrame, similarity: float) -> DataFrame:
     return in_batches(pairs, work, "node long, leader long")
 
 
-def fitting_pairs(rows: pa.Table, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows (their places) whose lengths and word counts allow the similarity, and whether some were left out.
+def fitting_pairs(rows: pa.Table, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (their places) whose lengths and word counts allow the similarity, and the rows some of whose pairs were left out.
 
     ``rows`` has whole groups ``bucket, one, two``, each in the order of ``block, n_words``. In a group of one block the pairs are any two rows, in
     a group of two blocks a row of each; both rows are of different components. A row has at most ``most`` pairs with rows behind it.
     """
     bucket, one, two, block, words, component = (rows.column(x).to_numpy() for x in ("bucket", "one", "two", "block", "n_words", "component"))
-    bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-    size, n = bins.sum(axis=1, dtype=np.int64), len(words)
+    counts, n = counts_of(rows.column("bins")), len(words)
     new = np.append(True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
     group = np.cumsum(new) - 1
     # the first row to meet is the next one, or the first of the other block; the last is told by length
@@ -257,7 +295,7 @@ def fitting_pairs(rows: pa.Table, similarity: float, most: int) -> tuple[np.ndar
     step = np.int64(words.max(initial=0) / similarity) + 2
     reach = np.searchsorted(group * step + words, group * step + np.minimum((words / similarity + 1e-9).astype(np.int64), step - 1), "right")
     count = np.where((one == two) | (block == one), np.maximum(reach - start, 0), 0)
-    found, left_out, at = [], False, 0
+    found, left_out, at = [], np.zeros(n, bool), 0
     ends = np.cumsum(count)
     while at < n:
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
@@ -266,16 +304,14 @@ def fitting_pairs(rows: pa.Table, similarity: float, most: int) -> tuple[np.ndar
         b = np.repeat(start[at:stop] - np.append(0, np.cumsum(own)[:-1]), own) + np.arange(len(a))
         stay = component[a] != component[b]
         a, b = a[stay], b[stay]
-        # counts above 255 stand as 255, which can only make two texts look more alike
-        common = np.minimum(bins[a], bins[b]).sum(axis=1, dtype=np.int64)
-        stay = np.maximum(size[a], size[b]) - common <= (1 - similarity) * np.maximum(words[a], words[b]) + 1e-9
+        stay = near_enough(counts, counts, a, b, (1 - similarity) * np.maximum(words[a], words[b]) + 1e-9)
         a, b = a[stay], b[stay]
         number = np.arange(len(a)) - np.searchsorted(a, a)
-        left_out |= bool((number >= most).any())
+        left_out[a[number >= most]] = True
         found.append((a[number < most], b[number < most]))
         at = stop
     a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return a, b, left_out
+    return a, b, np.flatnonzero(left_out)
 
 
 def _whole_groups(batches, columns: list[str]):
@@ -299,16 +335,20 @@ def _whole_groups(batches, columns: list[str]):
 
 
 def _pairs_of_blocks(rows: DataFrame, similarity: float, most: int) -> DataFrame:
-    """``node, leader, more`` of all fitting pairs of different components in the buckets; ``more``: whether some of the block were left out."""
+    """``node, leader, more, bucket`` of all fitting pairs of different components in the buckets; ``more``: whether some of its
+    bucket were left out, which the first pair of such a bucket alone names."""
 
     def work(batches):
         for table in _whole_groups(batches, ["bucket", "one", "two"]):
             a, b, left_out = fitting_pairs(table, similarity, most)
             node = table.column("node").to_numpy()
             least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(greatest), pa.array(np.full(len(a), left_out))], names=["node", "leader", "more"])
+            every = table.column("bucket").to_numpy()
+            bucket, more, named = every[a], np.isin(every[a], every[left_out]), np.zeros(len(a), bool)
+            named[np.flatnonzero(more)[np.unique(bucket[more], return_index=True)[1]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(greatest), pa.array(more), pa.array(bucket, mask=~named)], names=["node", "leader", "more", "bucket"])
 
-    return in_batches(rows, work, "node long, leader long, more boolean")
+    return in_batches(rows, work, "node long, leader long, more boolean, bucket long")
 
 
 def _blocks(shared: DataFrame, bins: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -321,20 +361,22 @@ def _blocks(shared: DataFrame, bins: DataFrame, joined: DataFrame | None) -> Dat
     rows = rows.select("bucket", "node", "n_words", "component", block.alias("block"), last.alias("last"))
     alone = rows.filter("last = 0").select("bucket", "node", "n_words", "component", "block", F.col("block").alias("with"))
     parted = rows.filter("last > 0").select("bucket", "node", "n_words", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("with"))
-    rows = alone.unionByName(parted).select("bucket", "node", "n_words", "component", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two")).join(bins, "node")
+    places = F.collect_list(F.struct("bucket", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))).alias("places")
+    # the counts of a text are joined once, whatever the number of its buckets
+    rows = alone.unionByName(parted).groupBy("node", "n_words", "component").agg(places).join(bins, "node").select("node", "n_words", "component", "bins", F.inline("places"))
     return spread(rows, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "block", "n_words")
 
 
 def find_links(keyed: DataFrame, similarity: float, run: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The different texts (``node, key, doc_id, copies, ...``), verified links (``node, leader``) that join all similar ones among them, and the
-    component of every text that has a link (None if there are no links).
+    component (its least node) of every other text that has a link (None if there are no links).
 
     ``keyed`` has ``key, doc_id, text``; rows with equal keys have equal texts.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n_words", "bins", "sketches")).alias("r")
     grouped = _survey(keyed, run or run_for(similarity), similarity).groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"))
     nodes = cut_lineage(grouped.select(F.monotonically_increasing_id().alias("node"), "key", "copies", "r.doc_id", "r.n_words", "r.bins", "r.sketches"))
-    bins = small(nodes.select("node", "bins"))
+    bins = nodes.select("node", "bins")
     links, tested, joined = [], [], None
     keys = nodes.select("node", "n_words", F.posexplode("sketches").alias("slot", "bucket"))
     # in the order of lengths a text that fits any other in its bucket fits the one before or after it
@@ -348,35 +390,69 @@ def find_links(keyed: DataFrame, similarity: float, run: int | None = None) -> t
     first = shared.filter((F.col("slot") < FIRST_SKETCHES) & (F.col("node") != F.col("lead.node")) & close)
     words = [F.when(F.col("node") < F.col("lead.node"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (
         ("n_words", "lead.n_words", "n_words"), ("lead.n_words", "n_words", "leader_words"))]
-    both = first.select(*ends, *words).distinct().join(bins, "node").join(bins.select(F.col("node").alias("leader"), F.col("bins").alias("leader_bins")), "leader")
-    candidates, more, most = cut_lineage(_screen(both.select("node", "leader", "n_words", "leader_words", "bins", "leader_bins"), similarity)), True, FIRST_PAIRS
+    pairs = cut_lineage(first.select(*ends, *words).distinct())
+    with_one = small(pairs).join(bins, "node")
+    both = with_one.join(_only(bins, pairs.select("leader")).select(F.col("node").alias("leader"), F.col("bins").alias("leader_bins")), "leader")
+    candidates, most = cut_lineage(_screen(both.select("node", "leader", "n_words", "leader_words", "bins", "leader_bins"), similarity)), FIRST_PAIRS
+    again = True
     while True:
         if candidates.limit(1).count():
             tested.append(candidates)
             links.append(_verify(keyed, nodes, tested[-1], similarity))
-            joined = small(joined_by(nodes, joined, links[-1]))
-        if not more:
+            joined = small(joined_by(joined, links[-1]))
+        if not again:
             found = reduce(DataFrame.unionByName, links) if links else nodes.select("node", F.col("node").alias("leader")).limit(0)
             return nodes, found, joined
-        new = cut_lineage(_pairs_of_blocks(_blocks(shared, bins, joined), similarity, most).groupBy("node", "leader").agg(F.max("more").alias("more")))
-        more, most = bool(new.filter("more").limit(1).count()), most * MORE_PAIRS
+        new = cut_lineage(_pairs_of_blocks(_blocks(shared, bins, joined), similarity, most).groupBy("node", "leader").agg(F.collect_set("bucket").alias("left_out")))
+        left_out = cut_lineage(new.select(F.explode("left_out").alias("bucket")).distinct())
+        again, most = bool(left_out.limit(1).count()), most * MORE_PAIRS
+        # whole buckets, so their blocks are the same in the next pass
+        if again:
+            shared = cut_lineage(shared.join(small(left_out), "bucket", "left_semi"))
+            bins = _fine(keyed, nodes, shared) if most == FIRST_PAIRS * MORE_PAIRS else bins
         candidates = new.select("node", "leader")
         for earlier in tested:
             candidates = candidates.join(small(earlier), ["node", "leader"], "left_anti")
         candidates = cut_lineage(candidates)
 
 
-def joined_by(nodes: DataFrame, joined: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The written components after the ``new`` links: links between components are few, so only those are followed."""
-    before = _with_component(nodes.select("node"), joined)
-    ends = new.select("leader", "node").join(before, "node").select("leader", F.col("component").alias("a"))
-    ends = ends.join(before.withColumnRenamed("node", "leader"), "leader").select("a", F.col("component").alias("b"))
-    merged = components(ends).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return cut_lineage(before.join(small(merged), "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+def _fine(keyed: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """``node, bins``, written, with the fine counts of the texts in ``shared`` buckets."""
+
+    def work(batches):
+        for batch in batches:
+            raw = batch.column(1).cast(pa.binary()).to_pylist()
+            fine = []
+            for part in chunks(raw):
+                words = words_of(raw[part])
+                fine += [finely_binned(words.hashes[words.first[k] : words.first[k + 1]]) for k in range(part.stop - part.start)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["node", "fine"])
+
+    needed = cut_lineage(_only(nodes.select("node", "key", "bins", F.col("doc_id").alias("one")), shared.select("node")))
+    texts = keyed.join(small(needed.select("node", "key", "one")), "key").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("node", "text")
+    fine = in_batches(texts, work, "node long, fine binary").dropDuplicates(["node"])
+    return cut_lineage(fine.join(needed, "node").select("node", F.concat("bins", "fine").alias("bins")))
+
+
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of some nodes. What ``nodes`` repeats is written once, so it can be counted and, if few, the rows need no shuffle to be found."""
+    return rows.join(small(cut_lineage(nodes.toDF("node").distinct())), "node", "left_semi")
+
+
+def joined_by(joined: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The written components (of all nodes but the least of each) after the ``new`` links: links between components are few, so only those are followed."""
+    ends = _with_component(new.select("node", "leader"), joined).select(F.col("leader").alias("node"), F.col("component").alias("a"))
+    ends = _with_component(ends, joined).select("a", F.col("component").alias("b"))
+    merged = cut_lineage(components(ends).filter("node <> component"))
+    if joined is None:
+        return merged
+    into = small(merged.select(F.col("node").alias("component"), F.col("component").alias("into")))
+    before = joined.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return cut_lineage(before.union(merged))
 
 
 def _with_component(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """Adds the component of ``node``; a node without links is its own."""
+    """Adds the component of ``node``, its least node; a node that ``joined`` does not name is its own."""
     if joined is None:
         return rows.withColumn("component", F.col("node"))
     return rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -388,7 +464,8 @@ def _verify(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, similarit
     needed = cut_lineage(needed)
     texts = keyed.join(small(needed), "key").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("node", "text")
     texts = cut_lineage(texts.dropDuplicates(["node"]))
-    pairs = small(candidates).join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
+    leaders = _only(texts, candidates.select("leader")).select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
+    pairs = small(candidates).join(texts, "node").join(leaders, "leader")
     return cut_lineage(_align(pairs.select("node", "leader", "text", "leader_text"), similarity))
 
 
