@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -127,3 +128,14 @@ def test_sums_keep_all_counts():
     keys, counts = sums.taken()
     assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
     assert len(sums.taken()[0]) == 0
+
+
+def test_a_trie_is_built_in_little_more_than_its_own_memory():
+    draw = np.random.default_rng(5)
+    runs = np.unique(np.where(np.arange(3)[None, :] < draw.integers(1, 4, 200_000)[:, None], draw.zipf(1.3, (200_000, 3)).astype(np.int64) % 60_000, -1), axis=0)
+    words = {b"%d" % k: k for k in range(60_000)}
+    tracemalloc.start()
+    trie = c.trie_of(runs, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 44 * len(trie.base)
