@@ -1,5 +1,6 @@
 """Main text of pages: markup cases one by one, boilerplate of unmarked pages against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -99,3 +100,43 @@ def test_repeats_are_runs_of_neighbours_in_every_range(spark):
     got = {(r.host, r.head): r.on for r in h.repeats(streams).collect()}
     assert {k: v for k, v in got.items() if v >= h.PAGES} == {k: len(v) for k, v in want.items() if len(v) >= h.PAGES}
     assert h.repeats(streams.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("part", "piece"), [(2000, 1_000_000), (4, 1_000_000), (2000, 60), (4, 60)])
+def test_the_array_decides_on_marked_pages_too(spark, monkeypatch, part, piece):
+    """Every page of the given tables marks its main part; the array read none of their texts. Rows may repeat; a host may be in many parts and pieces."""
+    monkeypatch.setattr(h, "PART_PAGES", part)
+    monkeypatch.setattr(h, "PIECE_TOKENS", piece)
+    draw, depth = random.Random(5), 4
+    plain = [f"shared{k} " + " ".join(f"s{k}x{j}" for j in range(6)) for k in range(6)]
+    rows = []
+    for k in range(60):
+        blocks = [" ".join(draw.choice("abc") + str(draw.randrange(3)) for _ in range(draw.randrange(1, 25))) for _ in range(draw.randrange(4))]
+        blocks += draw.sample(plain, draw.randrange(3))
+        draw.shuffle(blocks)
+        body, loose = "".join(f"<p>{b}</p>" for b in blocks), draw.choice(plain)
+        rows.append((k, f"http://h{min(k % 7, 2)}.org/{k}", f"<article>{body}</article><div>{loose}</div>" if k % 5 else f"{body}<div>{loose}</div>", "h", "t"))
+    rows += [rows[3], (None, *rows[4][1:]), (100, None, None, None, None)]
+    streams, of_host, on = [], defaultdict(set), defaultdict(set)
+    for page, url, html, *_ in rows:
+        blocks, marked = h.read_blocks(html or "")
+        own, rest = [t.split() for t, main, _ in blocks if main], [t.split() for t, main, _ in blocks if not main]
+        host, content = re.sub("^.*//|/.*$", "", url or ""), repr((marked, own, rest))
+        streams.append((page, host, own if marked else rest))
+        of_host[host].add(content)
+        for words in (sum(own, []), sum(rest, [])):
+            for at in range(len(words) - depth + 1):
+                on[host, tuple(words[at : at + depth])].add(content)
+    want, cut = [], 0
+    for page, host, blocks in streams:
+        words = sum(blocks, [])
+        heads = [(at, on[host, tuple(words[at : at + depth])]) for at in range(len(words) - depth + 1)]
+        gone = {at + k for at, pages in heads if len(pages) >= max(h.PAGES, h.OF_HOST * len(of_host[host])) for k in range(depth)}
+        gone, at, kept = set() if len(gone) > h.MOST * len(words) else gone, 0, []
+        for block in blocks:
+            kept.append(" ".join(w for k, w in enumerate(block, at) if k not in gone))
+            at += len(block)
+        want.append((page, "\n\n".join(filter(None, kept))))
+        cut += bool(gone) and page is not None and page % 5 > 0
+    got = [(r.page_id, r.text) for r in h.main_text(spark.createDataFrame(rows, SCHEMA), depth).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and cut > 10
