@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import new_path
-from tidemark.sources.ledger import LedgerReader, drain, ledger_stream
+from tidemark.sources import ledger
+from tidemark.sources.ledger import Groups, LedgerReader, drain, drain_lanes, lane_streams, ledger_stream
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("note", T.StringType())])
 START = datetime.datetime(2024, 1, 1)
@@ -110,3 +111,50 @@ def test_empty_folder(spark):
     os.makedirs(f"{base}/in")
     run(spark, base, 1000, batches)
     assert not any(batches.values())
+
+
+@pytest.mark.parametrize("lanes", [1, 3])
+def test_lanes_hold_each_row_group_once_in_bounded_batches(tmp_path, lanes):
+    put(str(tmp_path / "in"), "x.parquet", range(70))
+    for k in range(5):
+        put(str(tmp_path / "in"), f"y{k}.parquet", [100 + k])
+    footers = {f"{n}.parquet": pq.ParquetFile(tmp_path / "in" / f"{n}.parquet").metadata for n in ("x", "y0", "y1", "y2", "y3", "y4")}
+    sizes = {(n, g): f.row_group(g).total_byte_size for n, f in footers.items() for g in range(f.num_row_groups)}
+    seen = []
+    for lane in range(lanes):
+        options = {"path": str(tmp_path / "in"), "ledger": str(tmp_path / f"ledger{lane}"), "maxBytes": str(2 * max(sizes.values())), "lane": str(lane), "lanes": str(lanes)}
+        reader, at = LedgerReader(SCHEMA, options), {"file": 0, "group": 0}
+        while (end := reader.latestOffset()) != at:
+            groups = [item for part in reader.partitions(at, end) for item in part.items]
+            assert sum(sizes[item] for item in groups) <= 2 * max(sizes.values())
+            seen.append(groups)
+            at = end
+    assert sorted(item for groups in seen for item in groups) == sorted(sizes) and max(map(len, seen)) > 1
+
+
+def test_lanes_run_side_by_side_and_go_on_after_a_restart(spark):
+    base, batches = new_path(spark, "ledger"), {}
+    put(f"{base}/in", "m.parquet", range(60))
+    most = max(group_bytes(f"{base}/in"))
+
+    def each(lane, batch, number):
+        batches[lane, number] = [r.id for r in batch.select("id").collect()]
+
+    def go():
+        drain_lanes(lane_streams(spark, f"{base}/in", SCHEMA, f"{base}/ledger", 3, most), each, lambda lane: f"{base}/checkpoint/{lane}")
+
+    go()
+    assert sorted(i for rows in batches.values() for i in rows) == list(range(60))
+    assert {lane for (lane, _), rows in batches.items() if rows} == {0, 1, 2} and max(map(len, batches.values())) == 10
+    put(f"{base}/in", "a.parquet", range(60, 95))
+    go()
+    assert sorted(i for rows in batches.values() for i in rows) == list(range(95))
+
+
+def test_a_worker_reads_a_footer_once_for_all_batches(tmp_path, monkeypatch):
+    put(str(tmp_path / "in"), "x.parquet", range(40))
+    reader = LedgerReader(SCHEMA, {"path": str(tmp_path / "in"), "ledger": str(tmp_path / "ledger")})
+    opened, file = [], pq.ParquetFile
+    monkeypatch.setattr(ledger.pq, "ParquetFile", lambda source: opened.append(source) or file(source))
+    batches = [[i for batch in reader.read(Groups([("x.parquet", g)])) for i in batch.column("id").to_pylist()] for g in range(4)]
+    assert sum(batches, []) == list(range(40)) and len(opened) == 1

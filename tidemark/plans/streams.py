@@ -11,9 +11,11 @@ from tidemark.plans.fixtures import SNAPSHOTS, TRANSFORM_LOG
 from tidemark.plans.audit import lag_equal
 from tidemark.plans.registry import query
 from tidemark.session import new_path
-from tidemark.sources.ledger import drain, ledger_stream
+from tidemark.sources.ledger import drain_lanes, lane_streams
 from tidemark.streaming import streams as s
 
+#: Streams that ``bounded_ingest`` runs side by side.
+LANES = 8
 WATERMARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 
 
@@ -130,15 +132,16 @@ def event_ingest(t):
 
 @query("bounded_ingest", "SELECT event_id, ts::DATE AS day, event_type, value FROM events")
 def bounded_ingest(t):
-    # One file of many small row groups, taken in batches of at most 64 KB.
+    # One file of many small row groups, taken in batches of at most 64 KB, in lanes side by side as each batch costs the same however small.
     folder = new_path(t.spark, "bounded")
     t.events.coalesce(1).write.option("parquet.block.size", 16 * 1024).option("parquet.page.size", 4 * 1024).parquet(f"{folder}/in")
-    rows = ledger_stream(t.spark, f"{folder}/in", t.events.schema, f"{folder}/ledger", 64 * 1024)
+    lanes = lane_streams(t.spark, f"{folder}/in", t.events.schema, f"{folder}/ledger", LANES, 64 * 1024)
 
-    def each(batch, number):
-        batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type", "value").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    def each(lane, batch, number):
+        rows = batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type", "value")
+        rows.write.mode("overwrite").parquet(f"{folder}/out/lane={lane}/batch={number}")
 
-    drain(rows, each, f"{folder}/checkpoint")
+    drain_lanes(lanes, each, lambda lane: f"{folder}/checkpoint/lane={lane}")
     return t.spark.read.parquet(f"{folder}/out").select("event_id", "day", "event_type", "value")
 
 
