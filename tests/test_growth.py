@@ -1,5 +1,6 @@
 """What must not grow with the input: broadcasts, rows of one task, pairs that are compared."""
 
+import random
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -28,6 +29,29 @@ def test_labels_of_many_nodes_are_not_broadcast(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_groups_shrink_by_the_round_whatever_the_graph(spark, monkeypatch):
+    """Chains, stars, loops, lone nodes, null ends and repeated edges; all links were joined again in every round."""
+    draw = random.Random(3)
+    chain = [(f"c{k:04}", f"c{k + 1:04}") for k in range(3000)]
+    shuffled = [(f"s{a}", f"s{b}") for order in [draw.sample(range(2000), 2000)] for a, b in zip(order, order[1:], strict=False)]
+    pairs = [(f"r{draw.randrange(900)}", f"r{draw.randrange(900)}") for _ in range(600)]
+    odd = [("x", "x"), (None, "y"), ("z", None), (None, None), ("a", "b"), ("b", "a"), ("a", "b"), ("q", "c0000"), ("q", None)]
+    edges = chain + shuffled + pairs + odd + [("hub", f"leaf{k}") for k in range(500)]
+    group = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            one, two = group.setdefault(a, {a}), group.setdefault(b, {b})
+            if one is not two:
+                one |= two
+                group.update(dict.fromkeys(two, one))
+    written = []
+    monkeypatch.setattr(relations, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    found = relations.connected_groups(spark.createDataFrame(edges, "src string, dst string"))
+    assert sorted(map(tuple, found.collect())) == sorted((node, min(nodes)) for node, nodes in group.items())
+    assert written.count(["src", "dst"]) <= 8  # links are written once, and in each round those that are left
+    assert relations.connected_groups(spark.createDataFrame([(None, "y")], "src string, dst string")).count() == 0
+
+
 def test_names_that_are_not_alike_rarely_meet(spark):
     """Invented names of a few letters share single grams by the thousand; meetings must grow as the names do, not with their square."""
     met, count = [], 4000

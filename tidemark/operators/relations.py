@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rules import first_match
 from tidemark.functions.values import money, share, token_estimate
 from tidemark.operators.analytics import union_tables
-from tidemark.session import by_rows, cut_lineage
+from tidemark.session import MOST_BROADCAST_ROWS, by_rows, cut_lineage
 
 # Limits of the tests and the normal quantile they compare with.
 LEAST_SAMPLE = 100
@@ -276,29 +276,62 @@ def join_paths(keys: DataFrame, start: str) -> DataFrame:
 
 
 def connected_groups(edges: DataFrame) -> DataFrame:
-    """Least node id of each connected group, for the nodes that have an edge.
+    """Least node id of each connected group, for the nodes that have an edge; an edge with a null end is none.
 
-    Labels spread to neighbours and from each label's own label, so long chains halve each round; labels
-    only ever fall, so the rounds end when none changes. Labels of many nodes are joined by sorting, whatever their files' size.
+    Rounds of hooking and contraction: each node points to its least neighbour, which makes trees (the ends of a two-cycle share the lesser as root), pointers
+    jump to the roots, and links between different roots are the next round's. A root has taken in a neighbour at least, so nodes
+    halve each round and usually fall by much more: the links are read once in full, not in every round. Only nodes that others point to jump.
+    Tables of many nodes are joined by sorting, whatever their files' size.
     """
-    links = cut_lineage(
-        edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    )
-    labels = cut_lineage(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("grp")))
+    whole = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    links = cut_lineage(whole.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    rounds = []
     while True:
-        labels = by_rows(labels)
-        near = links.join(labels.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node")).agg(
-            F.min("grp").alias("near")
-        )
-        spread = labels.join(near, "node").select("node", F.col("grp").alias("old"), F.least("grp", "near").alias("grp"))
-        far = labels.select(F.col("node").alias("grp"), F.col("grp").alias("far"))
-        jumped = cut_lineage(
-            spread.join(far, "grp").select("node", "old", F.least("grp", "far").alias("grp"))
-        )
-        changed = jumped.filter("grp <> old").limit(1).count()
-        labels = jumped.select("node", "grp")
-        if not changed:
-            return labels
+        other = F.when(F.col("src") != F.col("dst"), F.col("dst"))
+        ends = links.select("src", other.alias("dst")).unionByName(links.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        up = cut_lineage(ends.groupBy(F.col("src").alias("node")).agg(F.coalesce(F.min("dst"), F.col("src")).alias("up")))
+        many = up.count() > MOST_BROADCAST_ROWS
+        roots = _roots(up, many)
+        rounds.append(by_rows(cut_lineage(up.join(_sorted(roots.withColumnsRenamed({"node": "up"}), many), "up").select("node", "root"))))
+        near, far = (rounds[-1].withColumnsRenamed({"node": end, "root": f"{end}_root"}) for end in ("src", "dst"))
+        between = links.filter("src <> dst").join(near, "src").join(far, "dst").filter("src_root <> dst_root")
+        links = cut_lineage(between.select(F.least("src_root", "dst_root").alias("src"), F.greatest("src_root", "dst_root").alias("dst")).distinct())
+        if links.isEmpty():
+            break
+    # from the last round back, so that only the first is joined in full
+    named = cut_lineage(rounds[0].groupBy("root").agg(F.min("node").alias("grp")))
+    if len(rounds) > 1:
+        last = rounds[-1].withColumnsRenamed({"root": "final"})
+        for later in reversed(rounds[1:-1]):
+            last = _renamed(later, last)
+        taken = _renamed(named.select(F.col("root").alias("node"), "root", "grp"), last, "grp")
+        least = by_rows(cut_lineage(taken.groupBy("final").agg(F.min("grp").alias("grp"))))
+        named = cut_lineage(taken.select(F.col("node").alias("root"), "final").join(least, "final").select("root", "grp"))
+    return rounds[0].join(by_rows(named), "root").select("node", "grp")
+
+
+def _sorted(df: DataFrame, many: bool) -> DataFrame:
+    return df.hint("merge") if many else df
+
+
+def _renamed(round_: DataFrame, last: DataFrame, *columns: str) -> DataFrame:
+    """``node, final`` and ``columns`` of a round's nodes, from their roots and what later rounds made of those."""
+    found = round_.join(last.withColumnsRenamed({"node": "root"}), "root", "left")
+    return by_rows(cut_lineage(found.select("node", F.coalesce("final", "root").alias("final"), *columns)))
+
+
+def _roots(up: DataFrame, many: bool) -> DataFrame:
+    """``node, root`` of the nodes that others point to; ``up`` has ``node, up``, and its only cycles are of one or two nodes."""
+    inner = cut_lineage(up.join(_sorted(up.select(F.col("up").alias("node")).distinct(), many), "node", "left_semi"))
+    over = inner.select(F.col("node").alias("up"), F.col("up").alias("over"))
+    new = F.when(F.col("over") == F.col("node"), F.least("node", "up")).otherwise(F.col("over"))
+    found = cut_lineage(inner.join(_sorted(over, many), "up").select("node", new.alias("root")))
+    while True:
+        over = found.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        jumped = cut_lineage(found.join(_sorted(over, many), "root").select("node", F.col("root").alias("old"), F.col("over").alias("root")))
+        found = jumped.select("node", "root")
+        if jumped.filter("root <> old").isEmpty():
+            return found
 
 
 def group_rate_test(df: DataFrame, group: str, hit: Column) -> DataFrame:
