@@ -6,12 +6,14 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
 from tests.oracle import connect, rows_of
 from tidemark.llm import collocations as c
 from tidemark.llm.chunks import Sums
+from tidemark.llm.words import mixed
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n", T.StringType()), T.StructField("x.y", T.StringType())])
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,3 +141,43 @@ def test_a_trie_is_built_in_little_more_than_its_own_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 44 * len(trie.base)
+
+
+def test_a_trie_is_a_file_that_tasks_map(spark):
+    """Tries and bitmaps were held by the driver and by every worker."""
+    draw = random.Random(6)
+    words = [f"w{k}" for k in range(400)] + ["é", "中"]
+    keys = dict(zip(words, c.hashes([w.encode() for w in words]).view(np.int64).tolist(), strict=True))
+    phrases = sorted({tuple(draw.choice(words) for _ in range(draw.randint(1, 3))) for _ in range(3000)})
+    runs = spark.createDataFrame([(k, *[keys[w] for w in p], *[None] * (3 - len(p))) for k, p in enumerate(phrases)], "number long, a long, b long, c long")
+    found = c.stored(runs.repartition(5), spark.createDataFrame([(key, w) for w, key in keys.items()], "a long, word string"))
+    assert sum(len(x) for x in found if isinstance(x, str)) < 1000 and found.phrases == len(phrases)
+    trie, text = found.read(), [draw.choice([*words, "other"]) for _ in range(4000)]
+    different = sorted(set(text))
+    number = {p: k for k, p in enumerate(phrases)}
+    want = Counter(number[run] for i in range(len(text)) for k in (1, 2, 3) if len(run := tuple(text[i : i + k])) == k and run in number)
+    assert Counter(trie.accepted([w.encode() for w in different], np.array([different.index(w) for w in text])).tolist()) == want
+    assert not any(array.flags.owndata for array in (trie.base, trie.check, trie.accept, *trie.symbols))
+    assert c.stored(runs.limit(0), spark.createDataFrame([], "a long, word string")) is None
+
+
+def test_words_of_one_hash_have_one_number(monkeypatch):
+    monkeypatch.setattr(c, "hashes", lambda words: np.array([len(w) for w in words], np.uint64))
+    words = c.Dictionary(np.array([1, 2, 2, 2, 4]), np.array([0, 1, 3, 5, 7, 11]), np.frombuffer(b"aabcdefghij", np.uint8))
+    assert words.numbers([b"a", b"ab", b"cd", b"ef", b"ghij", b"b", b"xy", b"xyz", b"zzzz"]).tolist() == [0, 1, 1, 1, 2, -1, -1, -1, -1]
+
+
+def test_bitmaps_are_files_that_hold_their_keys(spark):
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)
+    bitmap = c.Bitmap.of(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert isinstance(bitmap.file, str) and bitmap.has(keys.view(np.uint64)).all()
+    assert bitmap.has(mixed(keys.view(np.uint64))).mean() < 0.05
+    assert not c.Bitmap.of(spark.createDataFrame([], "key long")).has(keys.view(np.uint64)).any()
+
+
+def test_chunks_are_written_in_row_groups_of_few_rows(spark, monkeypatch):
+    """Writer and readers hold a row group, and a row is megabytes; a group had 100 rows at least."""
+    monkeypatch.setattr(c, "CHUNK_BYTES", 50)
+    chunks = c.encoded(spark.createDataFrame([(k, "some words here " * 5, "en", None, None) for k in range(60)], SCHEMA).coalesce(1))
+    groups = [f.row_group(g).num_rows for name in chunks.inputFiles() for f in [pq.ParquetFile(name.removeprefix("file:").replace("///", "/")).metadata] for g in range(f.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= c.CHUNK_ROWS
